@@ -28,3 +28,55 @@ def conform_sales(spark: SparkSession, sf: str) -> DataFrame:
 def load_report(spark: SparkSession, sf: str) -> DataFrame:
     """Per-upload load quality."""
     return C.load_report(SP.checked(spark, sf))
+
+
+# --- profiling (P1-P9, S3, S4, S12) -------------------------------------------------------
+
+from ..operators import profile as P  # noqa: E402
+from ..sources import tables as TB  # noqa: E402
+from ..sources import testdata as TD  # noqa: E402
+from . import oracle_profile as OP  # noqa: E402
+from .. import model as _m  # noqa: E402
+
+
+@register("profile_columns", OP.profile_sql("typed"))
+def profile_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """P1-P5 typed mode over every row of every upload."""
+    return P.profile(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf), "typed")
+
+
+@register("profile_columns_compat", OP.profile_sql("compat", _m.ROW_CAP))
+def profile_columns_compat(spark: SparkSession, sf: str) -> DataFrame:
+    """P1-P5 in pandas-compatible mode over the first 200 rows of each upload (S3)."""
+    return P.profile(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf), "compat",
+                     row_cap=_m.ROW_CAP)
+
+
+@register("upload_summary", OP.upload_summary_sql())
+def upload_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """P6 + S3: capped and true row counts, column count per upload."""
+    return P.upload_summary(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf))
+
+
+@register("sample_rows_json", OP.sample_rows_sql())
+def sample_rows_json(spark: SparkSession, sf: str) -> DataFrame:
+    """First five rows of each upload as JSON records."""
+    return P.sample_rows_json(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf))
+
+
+@register("profile_json")
+def profile_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The profile of each upload as one JSON document (form 1)."""
+    return P.profile_json(profile_columns(spark, sf))
+
+
+@register("layout_signatures", OP.layout_signatures_sql())
+def layout_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """Layout text and id per upload."""
+    return P.layout_signatures(TD.sales_headers(spark, sf))
+
+
+@register("table_counts", OP.table_counts_sql(TB.TABLES))
+def table_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Row count of every table."""
+    return P.table_counts({t: TB.table(spark, sf, t) for t in TB.TABLES})

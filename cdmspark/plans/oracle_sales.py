@@ -123,3 +123,52 @@ SELECT upload_id, customer_id, count(*) AS rows_read,
 FROM ({checked_select()}) x
 GROUP BY upload_id, customer_id
 """
+
+
+def _text_values() -> dict[str, str]:
+    """DuckDB text rendering of each CDM field, as the raw file would carry it."""
+    return {
+        "date": "CAST(CAST(l_shipdate AS DATE) AS VARCHAR)",
+        "customer_id": "concat('ACC_', o_custkey)",
+        "customer_name": "c_name",
+        "product_sku": "CASE WHEN bad_sku THEN '' ELSE concat('SKU-', pk) END",
+        "product_name": "p_name",
+        "product_category": "p_type",
+        "channel": "o_orderpriority",
+        "region": "r_name",
+        "units_sold": "CAST(qty AS VARCHAR)",
+        "revenue": "CASE WHEN bad_rev THEN 'n/a' ELSE CAST(rev AS VARCHAR) END",
+        "discount": "CAST(disc AS VARCHAR)",
+        "net_revenue": "CAST(CAST(rev - disc AS DECIMAL(18,2)) AS VARCHAR)",
+        "cost": "CAST(cst AS VARCHAR)",
+        "margin": "CAST(CAST(rev - cst AS DECIMAL(18,2)) AS VARCHAR)",
+        "store_id": "concat('STORE_', l_suppkey)",
+        "rep_id": "concat('REP_', l_suppkey)",
+    }
+
+
+ORDER_COLS = ("l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, "
+              "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate")
+
+
+def _list_case(items_per_layout: list[list[str]]) -> str:
+    parts = " ".join(f"WHEN {i} THEN [{', '.join(items)}]"
+                     for i, items in enumerate(items_per_layout))
+    return f"CASE layout {parts} END"
+
+
+def names_case() -> str:
+    return _list_case([[f"'{n}'" for n in model.layout_names(i)]
+                       for i in range(len(model.LAYOUTS))])
+
+
+def raw_rows_sql() -> str:
+    """(upload_id, layout, names, vals, order columns) for every sales row."""
+    tv = _text_values()
+    vals = _list_case([[tv[f] for f in model.layout_fields(i)]
+                       for i in range(len(model.LAYOUTS))])
+    return f"""
+  SELECT concat('U', layout, '_', year(l_shipdate)) AS upload_id, layout,
+         {names_case()} AS names, {vals} AS vals, {ORDER_COLS}
+  FROM ({JOINED}) j
+"""
