@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import conform as C
 from . import oracle_sales as OS
@@ -80,3 +81,76 @@ def layout_signatures(spark: SparkSession, sf: str) -> DataFrame:
 def table_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Row count of every table."""
     return P.table_counts({t: TB.table(spark, sf, t) for t in TB.TABLES})
+
+
+# --- workflow (W1-W8), mapping documents (M7, M8, M12-M14, A3), joins (J1-J5), F, O ----------
+
+from ..operators import mapping_doc as MD  # noqa: E402
+from ..operators import workflow as W  # noqa: E402
+from ..sources import workflow_events as WE  # noqa: E402
+from . import oracle_workflow as OW  # noqa: E402
+from . import workflow as WP  # noqa: E402
+
+
+@register("parse_replies", f"""
+  SELECT event_id, upload_id, parse_ok, CASE WHEN parse_ok THEN clean END AS mapping_json,
+         CASE WHEN NOT parse_ok THEN concat('invalid JSON; raw: ', left(reply_text, 500)) END
+             AS parse_error,
+         CASE WHEN parse_ok THEN CAST(json_extract(clean, '$.overall_confidence') AS DOUBLE) END
+             AS overall_confidence
+  FROM ({OW.parsed_sql()}) p""")
+def parse_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Model reply text -> mapping document, or a parse error with an excerpt."""
+    return WP.parsed_replies(spark, sf).select(
+        "event_id", "upload_id", "parse_ok", "mapping_json", "parse_error",
+        F.col("doc.overall_confidence").alias("overall_confidence"))
+
+
+@register("upload_status", OW.upload_status_sql())
+def upload_status(spark: SparkSession, sf: str) -> DataFrame:
+    """W1 + W6: current status and label of every upload."""
+    return WP.uploads_with_status(spark, sf)
+
+
+@register("mapping_status", OW.mapping_status_sql())
+def mapping_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Current status of every proposal."""
+    return WP.mappings_with_status(spark, sf)
+
+
+@register("validate_decisions", OW.validated_sql())
+def validate_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """W3 + W7 + V5: decision batch checked against proposals and uploads."""
+    return WP.validated(spark, sf)
+
+
+@register("approved_corpus", OW.approved_sql())
+def approved_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Approved mappings, latest approval per mapping."""
+    return W.approved_corpus(WP.reviews(spark, sf))
+
+
+@register("mapping_entries", OW.entries_sql(OW.proposals_sql(), "mapping_json", ["mapping_id"]))
+def mapping_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """M14 + M13: entries of every proposal with confidence band and percent."""
+    return MD.mapping_entries(WP.proposals(spark, sf))
+
+
+@register("mapping_doc_summary", f"""
+  WITH e AS ({OW.entries_sql(OW.proposals_sql(), "mapping_json", ["mapping_id"])}),
+  m AS (SELECT mapping_id, count(source_column) AS n_entries,
+               count(*) FILTER (WHERE cdm_field IS NOT NULL) AS n_mapped,
+               sum(CASE WHEN cdm_field IS NOT NULL THEN coalesce(confidence, 0.0) END) AS s
+        FROM e GROUP BY mapping_id)
+  SELECT p.mapping_id, p.confidence_score AS overall_confidence,
+         CASE WHEN m.n_mapped > 0 THEN round(m.s / m.n_mapped, 6) ELSE 0.0 END AS mean_confidence,
+         CAST(m.n_entries AS INTEGER) AS n_entries, CAST(m.n_mapped AS INTEGER) AS n_mapped,
+         CAST(coalesce(json_array_length(p.mapping_json, '$.unmapped_cdm_fields'), 0) AS INTEGER)
+             AS n_unmapped,
+         CASE WHEN p.confidence_score >= {_m.BAND_HIGH} THEN 'high'
+              WHEN p.confidence_score >= {_m.BAND_MEDIUM} THEN 'medium' ELSE 'low' END AS band,
+         CAST(floor(p.confidence_score * 100 + 0.5) AS INTEGER) AS percent
+  FROM ({OW.proposals_sql()}) p JOIN m USING (mapping_id)""")
+def mapping_doc_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """M7 + A3 + M13: stated and recomputed confidence, entry counts, band per proposal."""
+    return MD.doc_summary(WP.proposals(spark, sf))
