@@ -154,3 +154,221 @@ def mapping_entries(spark: SparkSession, sf: str) -> DataFrame:
 def mapping_doc_summary(spark: SparkSession, sf: str) -> DataFrame:
     """M7 + A3 + M13: stated and recomputed confidence, entry counts, band per proposal."""
     return MD.doc_summary(WP.proposals(spark, sf))
+
+
+# --- more workflow views: M8, W8, J1-J5, F1-F3, O1-O3, P8 ---------------------------------
+
+from ..operators import registry as RG  # noqa: E402
+from . import oracle_registry as ORG  # noqa: E402
+
+_UPLOAD_COLS = ["upload_id", "customer_id", "file_name", "source_system", "uploaded_at",
+                "row_count", "column_count", "schema_json", "sample_data_json", "error_message",
+                "layout"]
+_MAP_COLS = ["mapping_id", "event_id", "upload_id", "customer_id", "proposed_at", "mapping_json",
+             "confidence_score", "llm_reasoning", "similar_mapping_ids"]
+
+
+def _cdm(spark: SparkSession) -> DataFrame:
+    return RG.cdm_seed(spark, SP.AS_OF)
+
+
+@register("unmapped_cdm_fields", f"""
+  WITH e AS ({OW.entries_sql(OW.proposals_sql(), "mapping_json", ["mapping_id"])}),
+  f AS (SELECT DISTINCT mapping_id, cdm_field FROM e WHERE cdm_field IS NOT NULL),
+  ids AS (SELECT DISTINCT mapping_id FROM ({OW.proposals_sql()}) p),
+  miss AS (SELECT i.mapping_id, c.field_name FROM ids i CROSS JOIN ({ORG.seed_sql()}) c
+           WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.mapping_id = i.mapping_id
+                                              AND f.cdm_field = c.field_name)),
+  agg AS (SELECT mapping_id, list_sort(list(field_name)) AS l FROM miss GROUP BY mapping_id)
+  SELECT i.mapping_id, coalesce(agg.l, []::VARCHAR[]) AS unmapped_cdm_fields,
+         CAST(coalesce(len(agg.l), 0) AS INTEGER) AS n_unmapped
+  FROM ids i LEFT JOIN agg USING (mapping_id)""")
+def unmapped_cdm_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """M8: CDM fields no entry of a proposal targets."""
+    return MD.unmapped_fields(WP.proposals(spark, sf), _cdm(spark))
+
+
+@register("edit_history", f"""
+  WITH b AS ({OW.entries_sql(OW.reviews_sql(), "proposed_mapping_json",
+                             ["review_id", "mapping_id"])}),
+  a AS ({OW.entries_sql(OW.reviews_sql(), "final_mapping_json", ["review_id", "mapping_id"])})
+  SELECT coalesce(b.review_id, a.review_id) AS review_id,
+         coalesce(b.mapping_id, a.mapping_id) AS mapping_id,
+         coalesce(b.source_column, a.source_column) AS source_column,
+         b.cdm_field AS field_before, b.transformation AS transformation_before,
+         a.cdm_field AS field_after, a.transformation AS transformation_after
+  FROM b FULL OUTER JOIN a ON a.review_id = b.review_id AND a.mapping_id = b.mapping_id
+                          AND a.source_column = b.source_column
+  WHERE coalesce(b.source_column, a.source_column) IS NOT NULL
+    AND (b.cdm_field IS DISTINCT FROM a.cdm_field
+         OR b.transformation IS DISTINCT FROM a.transformation)""")
+def edit_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries a reviewer changed, per review."""
+    return MD.edit_history(WP.reviews(spark, sf))
+
+
+@register("pending_queue", f"""
+  SELECT m.*, u.file_name, u.source_system, u.row_count
+  FROM ({OW.mapping_status_sql()}) m JOIN ({OW.uploads_sql()}) u USING (upload_id)
+  WHERE m.status = 'PENDING'""")
+def pending_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 (F3 'pending'): pending proposals with upload details."""
+    return W.reviews_view("pending", WP.review_table(spark, sf), WP.mappings_with_status(spark, sf),
+                          WE.uploads(spark, sf))
+
+
+@register("completed_reviews", f"""
+  SELECT r.review_id, r.event_id, r.mapping_id, r.upload_id, r.reviewer, r.decision,
+         r.reviewed_at, r.reviewer_notes, r.final_mapping_json, m.mapping_json,
+         m.confidence_score, u.file_name, u.customer_id
+  FROM ({OW.reviews_sql()}) r JOIN ({OW.proposals_sql()}) m USING (mapping_id)
+  JOIN ({OW.uploads_sql()}) u ON u.upload_id = r.upload_id""")
+def completed_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """J2 (F3 'completed'): reviews with proposal and upload details (3-way join)."""
+    return W.reviews_view("completed", WP.review_table(spark, sf), WP.proposals(spark, sf),
+                          WE.uploads(spark, sf))
+
+
+@register("all_mappings", f"""
+  SELECT m.*, u.file_name, u.source_system, u.row_count
+  FROM ({OW.mapping_status_sql()}) m JOIN ({OW.uploads_sql()}) u USING (upload_id)""")
+def all_mappings(spark: SparkSession, sf: str) -> DataFrame:
+    """J3 (F3 default): every proposal with upload details."""
+    return W.reviews_view(None, WP.review_table(spark, sf), WP.mappings_with_status(spark, sf),
+                          WE.uploads(spark, sf))
+
+
+@register("mapping_detail", f"""
+  SELECT m.*, {", ".join(f"u.{c} AS upload_{c}" for c in _UPLOAD_COLS if c != "upload_id")}
+  FROM ({OW.mapping_status_sql()}) m LEFT JOIN ({OW.uploads_sql()}) u USING (upload_id)""")
+def mapping_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Every proposal with its upload when there is one."""
+    return W.mapping_detail(WP.mappings_with_status(spark, sf), WE.uploads(spark, sf))
+
+
+@register("entries_with_definitions", f"""
+  SELECT e.*, c.display_name, c.data_type, c.description, c.is_required
+  FROM ({OW.entries_sql(OW.proposals_sql(), "mapping_json", ["mapping_id"])}) e
+  LEFT JOIN ({ORG.seed_sql()}) c ON c.field_name = e.cdm_field""")
+def entries_with_definitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Proposal entries beside the CDM definition of their target field."""
+    return W.entries_with_definitions(MD.mapping_entries(WP.proposals(spark, sf)), _cdm(spark))
+
+
+@register("uploads_for_customer", f"""
+  SELECT * FROM ({OW.upload_status_sql()}) u WHERE customer_id = 'CUST_002'""")
+def uploads_for_customer(spark: SparkSession, sf: str) -> DataFrame:
+    """uploads filtered by an optional tenant argument (here CUST_002)."""
+    return W.filter_eq(WP.uploads_with_status(spark, sf), "customer_id", "CUST_002")
+
+
+@register("latest_upload_detail", f"""
+  SELECT * FROM ({OW.upload_status_sql()}) u
+  WHERE upload_id = (SELECT arg_max(upload_id, (uploaded_at, upload_id))
+                     FROM ({OW.uploads_sql()}) x)""")
+def latest_upload_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """key lookup of one upload — the most recently uploaded one (empty if none)."""
+    ups = WE.uploads(spark, sf)
+    key = ups.agg(F.max_by("upload_id", F.struct("uploaded_at", "upload_id")).alias("upload_id"))
+    return WP.uploads_with_status(spark, sf).join(F.broadcast(key), "upload_id")
+
+
+@register("uploads_newest_first", f"""
+  SELECT upload_id, customer_id, file_name, uploaded_at, status, status_label
+  FROM ({OW.upload_status_sql()}) u""")
+def uploads_newest_first(spark: SparkSession, sf: str) -> DataFrame:
+    """O1 + W6: upload history newest first, with status label."""
+    return W.newest_first(WP.uploads_with_status(spark, sf), "uploaded_at", "upload_id").select(
+        "upload_id", "customer_id", "file_name", "uploaded_at", "status", "status_label")
+
+
+@register("latest_uploads_per_customer", f"""
+  SELECT customer_id, upload_id, uploaded_at, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT customer_id, upload_id, uploaded_at,
+           row_number() OVER (PARTITION BY customer_id
+                              ORDER BY uploaded_at DESC NULLS LAST, upload_id) AS rank
+    FROM ({OW.uploads_sql()}) u) x
+  WHERE rank <= 3""")
+def latest_uploads_per_customer(spark: SparkSession, sf: str) -> DataFrame:
+    """O3: the three newest uploads of each tenant (a top-k report)."""
+    ups = WE.uploads(spark, sf)
+    return W.top_per_group(ups, ["customer_id"],
+                           [F.col("uploaded_at").desc_nulls_last(), F.col("upload_id")], 3) \
+        .select("customer_id", "upload_id", "uploaded_at", "rank")
+
+
+@register("profile_rows_from_json", f"""
+  SELECT upload_id, CAST(ordinal AS INTEGER) AS ordinal, column_name,
+         coalesce(nullif(json_extract_string(schema_json, '$."' || column_name || '".cdm_type'), ''),
+                  json_extract_string(schema_json, '$."' || column_name || '".type'), 'string')
+             AS cdm_type,
+         coalesce(CAST(json_extract(schema_json, '$."' || column_name || '".sample_values')
+                       AS VARCHAR[]), []::VARCHAR[]) AS sample_values,
+         CAST(json_extract(schema_json, '$."' || column_name || '".null_count') AS BIGINT)
+             AS null_count,
+         CAST(json_extract(schema_json, '$."' || column_name || '".unique_count') AS BIGINT)
+             AS unique_count,
+         json_extract_string(schema_json, '$."' || column_name || '".cdm_field') AS cdm_field
+  FROM (SELECT upload_id, schema_json, unnest(json_keys(schema_json)) AS column_name,
+               generate_subscripts(json_keys(schema_json), 1) AS ordinal
+        FROM ({OW.uploads_sql()}) u) x""")
+def profile_rows_from_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored profile documents (either form) back to rows."""
+    return P.parse_profile_json(WE.uploads(spark, sf))
+
+
+# --- registry (D1-D4, A2, M9, S9, S10) ----------------------------------------------------
+
+def _added(spark: SparkSession, sf: str) -> DataFrame:
+    cands = RG.extension_candidates(WP.unmapped_source_columns(spark, sf))
+    return RG.add_fields(_cdm(spark), RG.candidates_as_proposals(cands), "user", SP.AS_OF)
+
+
+def _registry(spark: SparkSession, sf: str) -> DataFrame:
+    return RG.registry_after(_cdm(spark), _added(spark, sf))
+
+
+@register("cdm_extension_candidates", ORG.candidates_sql())
+def cdm_extension_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """M9: unmapped source columns grouped by normalised name, as candidate CDM fields."""
+    return RG.extension_candidates(WP.unmapped_source_columns(spark, sf))
+
+
+@register("cdm_add_fields", ORG.added_sql())
+def cdm_add_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """D2 + A2: add the candidates; existing names refused, ids continue the numeric max."""
+    return _added(spark, sf)
+
+
+@register("cdm_registry", f"""
+  SELECT r.*, t.total FROM ({ORG.registry_sql()}) r
+  CROSS JOIN (SELECT count(*) AS total FROM ({ORG.registry_sql()}) x) t""")
+def cdm_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """D1 + O2 + S9/S10: every definition by field id with the total."""
+    return RG.list_fields(_registry(spark, sf))
+
+
+@register("cdm_summary", f"""
+  SELECT string_agg(printf('%s (%s)', field_name, data_type), ', ' ORDER BY field_id)
+             AS cdm_summary, count(*) AS n_fields
+  FROM ({ORG.registry_sql()}) r""")
+def cdm_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """D3: one summary line of all fields."""
+    return RG.summary_line(_registry(spark, sf))
+
+
+@register("cdm_definition_net_revenue", f"""
+  SELECT * FROM ({ORG.registry_sql()}) r WHERE field_name = 'net_revenue'""")
+def cdm_definition_net_revenue(spark: SparkSession, sf: str) -> DataFrame:
+    """The definition of net_revenue."""
+    return RG.lookup(_registry(spark, sf), "net_revenue")
+
+
+@register("cdm_next_id", f"""
+  SELECT printf('f%03d', coalesce(max(TRY_CAST(regexp_extract(field_id, '([0-9]+)', 1)
+                                               AS INTEGER)), 0) + 1) AS next_field_id
+  FROM ({ORG.registry_sql()}) r""")
+def cdm_next_id(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: the next free field id after the additions."""
+    return RG.next_field_number(_registry(spark, sf)).select(
+        F.format_string("f%03d", "next_no").alias("next_field_id"))

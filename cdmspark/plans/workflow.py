@@ -69,3 +69,25 @@ def uploads_with_status(spark: SparkSession, sf: str) -> DataFrame:
 def mappings_with_status(spark: SparkSession, sf: str) -> DataFrame:
     """W2 over all proposals."""
     return W.mapping_status(proposals(spark, sf), reviews(spark, sf))
+
+
+REVIEW_COLUMNS = ["review_id", "event_id", "mapping_id", "upload_id", "reviewer", "decision",
+                  "reviewed_at", "reviewer_notes", "final_mapping_json"]
+
+
+def review_table(spark: SparkSession, sf: str) -> DataFrame:
+    """mapping_reviews in its stored columns."""
+    return reviews(spark, sf).select(*REVIEW_COLUMNS)
+
+
+def unmapped_source_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of proposals left unmapped, with tenant and the column's profile type."""
+    from ..operators import profile as P
+    props = proposals(spark, sf)
+    ent = (MD.mapping_entries(props, "mapping_json", ("mapping_id", "upload_id", "customer_id"))
+           .filter(F.col("source_column").isNotNull() & F.col("cdm_field").isNull()))
+    prof = P.parse_profile_json(WE.uploads(spark, sf)).select(
+        "upload_id", F.col("column_name").alias("source_column"),
+        F.col("cdm_type").alias("profile_type"))
+    return ent.join(prof, ["upload_id", "source_column"], "left").select(
+        "mapping_id", "upload_id", "customer_id", "source_column", "profile_type")
