@@ -372,3 +372,197 @@ def cdm_next_id(spark: SparkSession, sf: str) -> DataFrame:
     """A2: the next free field id after the additions."""
     return RG.next_field_number(_registry(spark, sf)).select(
         F.format_string("f%03d", "next_no").alias("next_field_id"))
+
+
+# --- data checks (V1-V5) ------------------------------------------------------------------
+
+from ..operators import checks as CK  # noqa: E402
+from ..functions.local import values_frame as _vf  # noqa: E402
+
+
+def _customers(spark: SparkSession) -> DataFrame:
+    return _vf(spark, [(c, n, i, e, SP.AS_OF) for c, n, i, e in _m.CUSTOMERS],
+               _m.CUSTOMERS_SCHEMA)
+
+
+def _checks_frames(spark: SparkSession, sf: str) -> DataFrame:
+    ups = WP.uploads_with_status(spark, sf)
+    maps = WP.mappings_with_status(spark, sf)
+    revs = WP.review_table(spark, sf)
+    reqs = WP.decisions(spark, sf)  # decision requests before validation
+    parts = [
+        CK.primary_key(ups, "uploads", "upload_id"),
+        CK.primary_key(maps, "schema_mappings", "mapping_id"),
+        CK.primary_key(revs, "mapping_reviews", "review_id"),
+        CK.foreign_key(ups, "uploads", "customer_id", _customers(spark), "customer_id"),
+        CK.foreign_key(maps, "schema_mappings", "upload_id", ups, "upload_id"),
+        CK.foreign_key(reqs, "decision_requests", "mapping_id", maps, "mapping_id"),
+        *CK.not_null(ups, "uploads", ["customer_id", "file_name"]),
+        *CK.not_null(maps, "schema_mappings", ["upload_id", "customer_id", "mapping_json"]),
+        *CK.max_length(ups, "uploads", _m.VARCHAR_LIMITS["uploads"]),
+        *CK.max_length(maps, "schema_mappings", _m.VARCHAR_LIMITS["schema_mappings"]),
+        *CK.max_length(revs, "mapping_reviews", _m.VARCHAR_LIMITS["mapping_reviews"]),
+        CK.allowed_values(ups, "uploads", "status", _m.UPLOAD_STATUSES),
+        CK.allowed_values(maps, "schema_mappings", "status", _m.MAPPING_STATUSES),
+        CK.allowed_values(revs, "mapping_reviews", "decision", _m.DECISIONS),
+        *CK.defaults_applied(reqs, "decision_requests", CK.REVIEW_DEFAULTS),
+    ]
+    return CK.union_all(parts)
+
+
+def _checks_sql() -> str:
+    ups, maps = OW.upload_status_sql(), OW.mapping_status_sql()
+    revs, reqs = OW.reviews_sql(), OW.decisions_sql()
+    cust = ", ".join(f"'{c[0]}'" for c in _m.CUSTOMERS)
+
+    def one(src, table, check, bad):
+        return (f"SELECT '{table}' AS table_name, '{check}' AS check_name, "
+                f"CAST(count(*) AS BIGINT) AS n_rows, "
+                f"CAST(count(*) FILTER (WHERE {bad}) AS BIGINT) AS n_bad FROM ({src}) s")
+
+    def pk(src, table, key):
+        return (f"SELECT '{table}' AS table_name, 'primary key {key}' AS check_name, "
+                f"CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows, "
+                f"CAST(coalesce(sum(CASE WHEN {key} IS NULL OR n > 1 THEN n ELSE 0 END), 0) "
+                f"AS BIGINT) AS n_bad "
+                f"FROM (SELECT {key}, count(*) AS n FROM ({src}) s GROUP BY {key}) g")
+
+    def fk(src, table, col, parent, pkey):
+        return (f"SELECT '{table}' AS table_name, 'foreign key {col}' AS check_name, "
+                f"CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE p.k IS NULL) "
+                f"AS BIGINT) AS n_bad FROM ({src}) c LEFT JOIN "
+                f"(SELECT DISTINCT {pkey} AS k FROM ({parent}) pp) p ON p.k = c.{col}")
+
+    def lens(src, table, limits, cols):
+        return [one(src, table, f"length {c} <= {n}", f"length({c}) > {n}")
+                for c, n in limits.items() if c in cols]
+
+    up_cols = _UPLOAD_COLS + ["status"]
+    map_cols = _MAP_COLS + ["status"]
+    rev_cols = WP.REVIEW_COLUMNS
+    parts = [
+        pk(ups, "uploads", "upload_id"), pk(maps, "schema_mappings", "mapping_id"),
+        pk(revs, "mapping_reviews", "review_id"),
+        fk(ups, "uploads", "customer_id", f"SELECT unnest([{cust}]) AS customer_id", "customer_id"),
+        fk(maps, "schema_mappings", "upload_id", ups, "upload_id"),
+        fk(reqs, "decision_requests", "mapping_id", maps, "mapping_id"),
+        one(ups, "uploads", "not null customer_id", "customer_id IS NULL"),
+        one(ups, "uploads", "not null file_name", "file_name IS NULL"),
+        one(maps, "schema_mappings", "not null upload_id", "upload_id IS NULL"),
+        one(maps, "schema_mappings", "not null customer_id", "customer_id IS NULL"),
+        one(maps, "schema_mappings", "not null mapping_json", "mapping_json IS NULL"),
+        *lens(ups, "uploads", _m.VARCHAR_LIMITS["uploads"], up_cols),
+        *lens(maps, "schema_mappings", _m.VARCHAR_LIMITS["schema_mappings"], map_cols),
+        *lens(revs, "mapping_reviews", _m.VARCHAR_LIMITS["mapping_reviews"], rev_cols),
+        one(ups, "uploads", "allowed status",
+            "status IS NOT NULL AND status NOT IN (" +
+            ", ".join(f"'{s}'" for s in _m.UPLOAD_STATUSES) + ")"),
+        one(maps, "schema_mappings", "allowed status",
+            "status IS NOT NULL AND status NOT IN (" +
+            ", ".join(f"'{s}'" for s in _m.MAPPING_STATUSES) + ")"),
+        one(revs, "mapping_reviews", "allowed decision",
+            "decision IS NOT NULL AND decision NOT IN (" +
+            ", ".join(f"'{s}'" for s in _m.DECISIONS) + ")"),
+        one(reqs, "decision_requests", "default reviewer", "reviewer IS NULL"),
+    ]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("data_checks", _checks_sql())
+def data_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """V1-V5: keys, references, not-null, lengths, allowed values, defaults — as counts."""
+    return _checks_frames(spark, sf)
+
+
+# --- retrieval (M1-M4, M15) -----------------------------------------------------------------
+
+from ..operators import retrieve as RT  # noqa: E402
+from . import oracle_retrieve as ORT  # noqa: E402
+
+
+def _out(top: DataFrame) -> DataFrame:
+    return top.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _doc_tfidf(spark: SparkSession, sf: str):
+    docs = TB.table(spark, sf, "documents", "doc_id", "text")
+    qs = TB.table(spark, sf, "benchmark", "item_id", "text")
+    return RT.tfidf(RT.prose_terms(docs, "doc_id", "text"), RT.prose_terms(qs, "item_id", "text"))
+
+
+def schema_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Approved mappings with their source column names."""
+    from ..functions.materialize import materialize
+    return materialize(W.approved_corpus(WP.reviews(spark, sf)).withColumn(
+        "names", F.json_object_keys("source_schema")))
+
+
+def _schema_top(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = schema_corpus(spark, sf)
+    queries = TD.sales_headers(spark, sf)
+    cw, qw, st = RT.tfidf(RT.schema_terms(corpus, "mapping_id", "names"),
+                          RT.schema_terms(queries, "upload_id", "names"))
+    return RT.topk_sparse(cw, qw, st, k=_m.NEIGHBOURS)
+
+
+@register("similar_documents", ORT.documents_sql())
+def similar_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 + M2 at volume: exact top-3 documents per benchmark text by TF-IDF cosine."""
+    cw, qw, st = _doc_tfidf(spark, sf)
+    return _out(RT.topk_sparse(cw, qw, st, k=_m.NEIGHBOURS))
+
+
+@register("similar_schemas", ORT.schemas_sql())
+def similar_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 + M2: for every upload, the 3 most similar approved mappings by column-name trigrams."""
+    return _out(_schema_top(spark, sf))
+
+
+@register("schema_neighbours", ORT.schema_neighbours_sql())
+def schema_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: the neighbours' mapping_id, customer_id, source_schema and cdm_mapping."""
+    top = _out(_schema_top(spark, sf))
+    return RT.neighbour_rows(top, schema_corpus(spark, sf))
+
+
+@register("neighbour_ids", ORT.neighbour_ids_sql())
+def neighbour_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of the neighbours used per upload, in rank order, and their count."""
+    return RT.neighbour_ids(_schema_top(spark, sf))
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return TB.table(spark, sf, "embeddings", "vec_id", "embedding").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+@register("similar_vectors", ORT.vectors_sql())
+def similar_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """M2 dense: exact top-3 cosine neighbours of every vector (pivot-bucket pruning)."""
+    v = _vectors(spark, sf)
+    return _out(RT.topk_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True))
+
+
+@register("similar_vectors_lsh")
+def similar_vectors_lsh(spark: SparkSession, sf: str) -> DataFrame:
+    """M3 dense: approximate top-3 by random-projection LSH."""
+    v = _vectors(spark, sf)
+    return _out(RT.approx_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True))
+
+
+@register("lsh_recall")
+def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """M3: recall of the LSH top-3 against the exact top-3 (dense vectors)."""
+    v = _vectors(spark, sf)
+    exact = RT.topk_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True)
+    approx = RT.approx_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True)
+    return RT.recall(exact, approx)
+
+
+@register("similar_documents_minhash")
+def similar_documents_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    """M3 text: approximate top-3 documents per benchmark text by MinHash LSH (Jaccard)."""
+    docs = TB.table(spark, sf, "documents", "doc_id", "text")
+    qs = TB.table(spark, sf, "benchmark", "item_id", "text")
+    return _out(RT.approx_sparse(RT.prose_terms(docs, "doc_id", "text"),
+                                 RT.prose_terms(qs, "item_id", "text"), k=_m.NEIGHBOURS))
