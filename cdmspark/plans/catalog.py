@@ -566,3 +566,104 @@ def similar_documents_minhash(spark: SparkSession, sf: str) -> DataFrame:
     qs = TB.table(spark, sf, "benchmark", "item_id", "text")
     return _out(RT.approx_sparse(RT.prose_terms(docs, "doc_id", "text"),
                                  RT.prose_terms(qs, "item_id", "text"), k=_m.NEIGHBOURS))
+
+
+# --- proposals (M5, M6, M10, M11) -------------------------------------------------------------
+
+from ..operators import propose as PR  # noqa: E402
+from ..functions.materialize import materialize as _mat  # noqa: E402
+from .oracle_profile import profile_sql as _profile_sql  # noqa: E402
+from .oracle_registry import _norm as _norm_sql  # noqa: E402
+from .oracle_retrieve import sround as _sr  # noqa: E402
+
+
+def _typed_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return _mat(P.profile(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf), "typed"))
+
+
+def _name_sim_sql(a: str, b: str) -> str:
+    def grams(x):
+        words = f"list_filter(string_split({x}, '_'), lambda w: w <> '')"
+        g = ("list_transform(range(1, greatest(len('#' || w || '#') - 2, 1) + 1), "
+             "lambda i: substr('#' || w || '#', i, 3))")
+        return f"list_distinct(flatten(list_transform({words}, lambda w: {g})))"
+    ga, gb = grams(a), grams(b)
+    jac = (f"CASE WHEN len(list_distinct(list_concat({ga}, {gb}))) > 0 THEN "
+           f"len(list_intersect({ga}, {gb})) / len(list_distinct(list_concat({ga}, {gb}))) "
+           f"ELSE 0.0 END")
+    lev = f"(1.0 - levenshtein({a}, {b}) / greatest(length({a}), length({b}), 1))"
+    return f"greatest({jac}, {lev})"
+
+
+def _type_fit_sql(p: str, t: str) -> str:
+    parts = []
+    for cls, (exact, cast) in PR.TYPE_FIT.items():
+        ex = ", ".join(f"'{x}'" for x in exact)
+        ca = ", ".join(f"'{x}'" for x in cast)
+        parts.append(f"WHEN {p} = '{cls}' AND {t} IN ({ex}) THEN 1.0")
+        parts.append(f"WHEN {p} = '{cls}' AND {t} IN ({ca}) THEN 0.5")
+    return "CAST(CASE " + " ".join(parts) + " ELSE 0.0 END AS DOUBLE)"
+
+
+def _scores_sql() -> str:
+    ns = _name_sim_sql("norm_name", "cdm_field")
+    return f"""
+  SELECT upload_id, column_name, ordinal, profile_class, norm_name, field_id, cdm_field, data_type,
+         CAST(0.0 AS DOUBLE) AS vote, CAST(NULL AS VARCHAR) AS neighbour_transformation,
+         {_sr(ns, 6)} AS name_sim, {_type_fit_sql('profile_class', 'data_type')} AS type_fit,
+         {_sr(f"{PR.W_VOTE} * 0.0 + {PR.W_NAME} * {_sr(ns, 6)} + "
+              f"{PR.W_TYPE} * {_type_fit_sql('profile_class', 'data_type')}", 6)} AS score
+  FROM (SELECT upload_id, column_name, ordinal, cdm_type AS profile_class,
+               {_norm_sql('column_name')} AS norm_name
+        FROM ({_profile_sql('typed')}) p) p
+  CROSS JOIN (SELECT field_id, field_name AS cdm_field, data_type FROM ({ORG.seed_sql()}) c) c
+"""
+
+
+@register("column_field_scores", _scores_sql())
+def column_field_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """M5 core: name and type score of every (source column x CDM field), no neighbour votes."""
+    return PR.score_columns(_typed_profile(spark, sf), _cdm(spark))
+
+
+def _loo_proposals(spark: SparkSession, sf: str) -> DataFrame:
+    """Propose for every sales upload with neighbours from other layouts only."""
+    prof = _typed_profile(spark, sf)
+    heads = TD.sales_headers(spark, sf)
+    corpus = schema_corpus(spark, sf).withColumn("layout_id", F.sha2(F.array_join("names", " "),
+                                                                      256))
+    cw, qw, st = RT.tfidf(RT.schema_terms(corpus, "mapping_id", "names"),
+                          RT.schema_terms(heads, "upload_id", "names"))
+    groups = (heads.select(F.col("upload_id").alias("id"), F.col("layout_id").alias("grp")),
+              corpus.select(F.col("mapping_id").alias("id"), F.col("layout_id").alias("grp")))
+    top = RT.topk_sparse(cw, qw, st, k=_m.NEIGHBOURS, groups=groups)
+    entries = MD.mapping_entries(corpus, "cdm_mapping", ("mapping_id",))
+    votes = PR.neighbour_votes(top, entries)
+    return PR.proposals(prof, _cdm(spark), votes)
+
+
+@register("proposed_mappings")
+def proposed_mappings(spark: SparkSession, sf: str) -> DataFrame:
+    """M5 + M6 + M10: a field, confidence and transformation for every source column, with
+    votes from the three nearest approved mappings of other layouts (leave one layout out)."""
+    return _loo_proposals(spark, sf)
+
+
+@register("proposal_accuracy")
+def proposal_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Top-1 accuracy of the leave-one-layout-out proposals against the 77 gold pairs."""
+    heads = TD.sales_headers(spark, sf)
+    gold = heads.join(TD.gold_mappings(spark), "layout_id").select(
+        "upload_id", "source_column", "cdm_field")
+    return PR.accuracy(_loo_proposals(spark, sf), gold)
+
+
+@register("mapping_prompts")
+def mapping_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Prompt text per upload (CDM lines, columns with samples, rows, similar mappings)."""
+    prof = _typed_profile(spark, sf)
+    samples = P.sample_rows_json(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf),
+                                 _m.PROMPT_SAMPLE_ROWS)
+    nb = RT.neighbour_rows(_schema_top(spark, sf), schema_corpus(spark, sf)).withColumnRenamed(
+        "query_id", "upload_id")
+    return PR.prompts(prof, samples, _cdm(spark), nb)
