@@ -37,6 +37,7 @@ from ..operators import profile as P  # noqa: E402
 from ..sources import tables as TB  # noqa: E402
 from ..sources import testdata as TD  # noqa: E402
 from . import oracle_profile as OP  # noqa: E402
+from .oracle_sales import raw_rows_sql as _raw_rows_sql  # noqa: E402
 from .. import model as _m  # noqa: E402
 
 
@@ -667,3 +668,102 @@ def mapping_prompts(spark: SparkSession, sf: str) -> DataFrame:
     nb = RT.neighbour_rows(_schema_top(spark, sf), schema_corpus(spark, sf)).withColumnRenamed(
         "query_id", "upload_id")
     return PR.prompts(prof, samples, _cdm(spark), nb)
+
+
+# --- questions (Q1-Q11; Q6 = cdm_registry, Q9 = cdm_definition_net_revenue, Q12 flagship) -------
+
+from . import ask as AK  # noqa: E402
+
+
+def _entries_sql(field: str) -> str:
+    e = OW.entries_sql(OW.proposals_sql(), "mapping_json", ["mapping_id", "upload_id"])
+    return (f"SELECT mapping_id, upload_id, source_column, transformation, confidence, band "
+            f"FROM ({e}) e WHERE cdm_field = '{field}'")
+
+
+@register("revenue_columns", _entries_sql("revenue"))
+def revenue_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1: which source columns map to revenue (every proposal)."""
+    return AK.entries_for_field(WP.proposals(spark, sf), "revenue")
+
+
+@register("unmapped_columns", ORG.unmapped_sql())
+def unmapped_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Q2: source columns a proposal left unmapped, with tenant and profiled type."""
+    return WP.unmapped_source_columns(spark, sf)
+
+
+@register("seen_before", f"""
+  WITH u AS (SELECT DISTINCT upload_id, sha256(array_to_string(names, ' ')) AS layout_id
+             FROM ({_raw_rows_sql()}) r),
+  c AS (SELECT sha256(array_to_string(json_keys(source_schema), ' ')) AS layout_id,
+               count(*) AS n FROM ({OW.approved_sql()}) a GROUP BY 1),
+  t AS ({ORT.schemas_sql()})
+  SELECT u.upload_id, u.layout_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_same_layout,
+         t.doc_id AS nearest_mapping_id, t.score AS nearest_score
+  FROM u LEFT JOIN c USING (layout_id) LEFT JOIN t ON t.query_id = u.upload_id AND t.rank = 1""")
+def seen_before(spark: SparkSession, sf: str) -> DataFrame:
+    """Q3: has a similar schema been seen before — exact layout matches and the nearest one."""
+    heads = TD.sales_headers(spark, sf)
+    corpus = AK.with_layout_id(schema_corpus(spark, sf))
+    return AK.seen_before(heads, corpus, _schema_top(spark, sf))
+
+
+@register("date_transformations", _entries_sql("date"))
+def date_transformations(spark: SparkSession, sf: str) -> DataFrame:
+    """Q4: the transformation proposed for the date column."""
+    return AK.entries_for_field(WP.proposals(spark, sf), "date")
+
+
+@register("latest_proposal_confidence", f"""
+  WITH lp AS (SELECT p.* FROM ({OW.proposals_sql()}) p
+              QUALIFY row_number() OVER (PARTITION BY upload_id
+                                         ORDER BY proposed_at DESC, mapping_id DESC) = 1)
+  SELECT e.* FROM ({OW.entries_sql("SELECT * FROM lp", "mapping_json",
+                                   ["mapping_id", "upload_id"])}) e""")
+def latest_proposal_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Q5: confidence, band and percent per column of each upload's newest proposal."""
+    lp = AK.latest_proposal(WP.proposals(spark, sf))
+    return MD.mapping_entries(lp, "mapping_json", ("mapping_id", "upload_id"))
+
+
+@register("recent_customers", f"""
+  SELECT customer_id, max(uploaded_at) AS last_upload_at, count(*) AS n_uploads,
+         count(*) FILTER (WHERE uploaded_at >= (SELECT max(uploaded_at) FROM ({OW.uploads_sql()}) x)
+                                              - INTERVAL 7 DAYS) AS n_recent
+  FROM ({OW.uploads_sql()}) u GROUP BY customer_id""")
+def recent_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Q7: customers with recent uploads (last 7 days before the newest upload)."""
+    return AK.recent_customers(WE.uploads(spark, sf))
+
+
+@register("approved_mapping_counts", f"""
+  SELECT customer_id, count(*) AS n_approved FROM ({OW.approved_sql()}) a GROUP BY customer_id
+  UNION ALL SELECT 'ALL', count(*) FROM ({OW.approved_sql()}) a""")
+def approved_mapping_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Q8: how many approved mappings, per tenant and in total."""
+    return AK.approved_counts(W.approved_corpus(WP.reviews(spark, sf)))
+
+
+@register("pending_review_uploads", f"""
+  SELECT * FROM ({OW.upload_status_sql()}) u WHERE status = 'PENDING_REVIEW'""")
+def pending_review_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """Q10: uploads whose latest step is a proposal awaiting review."""
+    return WP.uploads_with_status(spark, sf).filter(F.col("status") == "PENDING_REVIEW")
+
+
+@register("chat_context", f"""
+  SELECT upload_id,
+         concat_ws(chr(10), 'CDM fields: ' || s.cdm_summary,
+                   printf('Current upload: %s from %s (%s, %s rows, %s columns)', file_name,
+                          customer_id, source_system, CAST(row_count AS VARCHAR),
+                          CAST(column_count AS VARCHAR)),
+                   CASE WHEN json_valid(schema_json)
+                        THEN 'Source columns: ' || array_to_string(json_keys(schema_json), ', ')
+                   END) AS context
+  FROM ({OW.uploads_sql()}) u
+  CROSS JOIN (SELECT string_agg(printf('%s (%s)', field_name, data_type), ', ' ORDER BY field_id)
+                  AS cdm_summary FROM ({ORG.seed_sql()}) c) s""")
+def chat_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Q11: context block per upload (CDM summary, upload line, source columns)."""
+    return AK.chat_context(WE.uploads(spark, sf), _cdm(spark))
