@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import conform as C
 from . import oracle_sales as OS
@@ -767,3 +768,91 @@ def pending_review_uploads(spark: SparkSession, sf: str) -> DataFrame:
 def chat_context(spark: SparkSession, sf: str) -> DataFrame:
     """Q11: context block per upload (CDM summary, upload line, source columns)."""
     return AK.chat_context(WE.uploads(spark, sf), _cdm(spark))
+
+
+# --- sources, sinks and streams (S1, S2, S7, S8, S11, C8, T1-T3) ------------------------------
+
+import uuid as _uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import csv_uploads as CU  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+from ..streaming import jobs as ST  # noqa: E402
+
+
+def _fresh(spark: SparkSession, what: str) -> str:
+    """A new folder under the shared checkpoint folder for one run."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/runs/{what}-{_uuid.uuid4().hex}"
+
+
+def _csv_round_trip(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    root = _fresh(spark, "uploads")
+    SK.write_csv_uploads(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf), root)
+    rows, heads = CU.read_uploads(spark, root)
+    # name each upload by its folder (the fixture writer puts one upload per folder)
+    key = heads.select("upload_id", F.col("upload_dir").alias("u"))
+    rows = rows.join(F.broadcast(key), "upload_id").drop("upload_id").withColumnRenamed("u",
+                                                                                        "upload_id")
+    heads = heads.drop("upload_id").withColumnRenamed("upload_dir", "upload_id")
+    return rows, heads
+
+
+@register("csv_upload_summary", OP.upload_summary_sql())
+def csv_upload_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 + S2 + S3 + P6: every upload written as its own CSV file (own header), read back in one
+    headerless scan, then counted per upload."""
+    rows, heads = _csv_round_trip(spark, sf)
+    return P.upload_summary(rows, heads)
+
+
+@register("csv_upload_profiles", OP.profile_sql("typed"))
+def csv_upload_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 + P1-P5: the same profile from the CSV files as from the tables."""
+    rows, heads = _csv_round_trip(spark, sf)
+    return P.profile(rows, heads, "typed")
+
+
+@register("reload_sales", OS.sales_sql())
+def reload_sales(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 + S8 + S11 + C8: load the conformed rows into a tenant-partitioned sales table, then
+    approve and load the same uploads again; the second load adds nothing."""
+    root = _fresh(spark, "sales")
+    checked = SP.checked(spark, sf)
+    SK.load_sales(spark, checked, root)
+    SK.load_sales(spark, checked, root)
+    return spark.read.parquet(f"{root}/sales").select(*_m.SALES_COLUMNS)
+
+
+_STATUS_SCHEMA = "upload_id string, ts timestamp_ntz, event_id bigint, status string"
+
+
+@register("stream_running_status")
+def stream_running_status(spark: SparkSession, sf: str) -> DataFrame:
+    """The status-event stream folded to the latest status per upload (equals W1)."""
+    ev = WE.events(spark, sf)
+    se = W.upload_status_events(ev.filter(F.col("event_type") == "signup"),
+                                WP.proposals(spark, sf), WP.reviews(spark, sf))
+    src, out, ck = _fresh(spark, "status-src"), _fresh(spark, "status-out"), _fresh(spark, "ck")
+    SK.append(se.select("upload_id", "ts", "event_id", "status"), src)
+    ST.running_status(spark, src, out, ck, T._parse_datatype_string(_STATUS_SCHEMA))
+    return ST.latest_snapshot(spark, out)
+
+
+@register("stream_corpus_refresh")
+def stream_corpus_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Approved mappings arrive as files; the corpus takes each mapping once."""
+    corpus = W.approved_corpus(WP.reviews(spark, sf))
+    src, dst, ck = _fresh(spark, "approved"), _fresh(spark, "corpus"), _fresh(spark, "ck")
+    SK.append(corpus, src)
+    SK.append(corpus, src)  # the same approvals delivered twice
+    ST.refresh_corpus(spark, src, dst, ck, corpus.schema)
+    return spark.read.parquet(dst)
+
+
+@register("stream_new_uploads")
+def stream_new_uploads(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV uploads landing in a folder are profiled as they arrive."""
+    root, out, ck = _fresh(spark, "inbox"), _fresh(spark, "profiles"), _fresh(spark, "ck")
+    SK.write_csv_uploads(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf), root)
+    ST.pick_up_uploads(spark, root, out, ck)
+    return spark.read.parquet(out).drop("epoch")
