@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions.exprs import broadcast_if_small, is_null_token, layout_id_of, layout_text
+from ..functions.materialize import materialize
 
 INT_RX = r"^[-+]?[0-9]+$"
 NUM_RX = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
@@ -79,6 +80,38 @@ def _class(mode: str) -> tuple[Column, Column]:
     return cdm, dtype
 
 
+def _top_values(lv: DataFrame, k: int, order: str) -> DataFrame:
+    w = Window.partitionBy("upload_id", "ordinal").orderBy(order)
+    return (lv.withColumn("rn", F.row_number().over(w))
+            .filter(F.col("rn") <= k)
+            .groupBy("upload_id", "ordinal")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))),
+                             lambda x: x["value"]).alias("raw_samples")))
+
+
+def first_samples(rows: DataFrame, agg: DataFrame, k: int = model.SAMPLE_VALUES,
+                  probe: int = model.ROW_CAP) -> DataFrame:
+    """P5: the first ``k`` non-null values of every column in row order, exactly.
+
+    Sorting every value of a long table is the costly way. Instead the first ``probe`` rows of
+    each upload (a row-level top-k, partial before the shuffle) give the samples of nearly every
+    column; only columns that still have fewer than ``k`` samples but more non-null values
+    (``agg.n_nonnull``) are ranked over all their values, and only those groups are shuffled.
+    """
+    head = cap_rows(rows, probe)
+    lvh = long_values(head.select("upload_id", F.col("row_no").alias("row_ord"), "vals"))
+    lvh = lvh.filter(~is_null_token(F.col("value")))
+    quick = _top_values(lvh, k, "row_ord")
+    need = (agg.select("upload_id", "ordinal", "n_nonnull")
+            .join(quick, ["upload_id", "ordinal"], "left")
+            .filter(F.coalesce(F.size("raw_samples"), F.lit(0))
+                    < F.least(F.col("n_nonnull"), F.lit(k)))
+            .select("upload_id", "ordinal"))
+    lv = long_values(rows).filter(~is_null_token(F.col("value")))
+    slow = _top_values(lv.join(F.broadcast(need), ["upload_id", "ordinal"]), k, "row_ord")
+    return quick.join(need, ["upload_id", "ordinal"], "left_anti").unionByName(slow)
+
+
 def column_stats(rows: DataFrame, mode: str = "typed") -> DataFrame:
     """P2-P5 per (upload_id, ordinal), before names are attached."""
     lv = long_values(rows)
@@ -94,13 +127,8 @@ def column_stats(rows: DataFrame, mode: str = "typed") -> DataFrame:
         F.bool_and(F.col("is_null") | F.col("is_date")).alias("all_date"),
         F.bool_and(F.col("is_null") | F.col("is_bool")).alias("all_bool"),
     )
-    w = Window.partitionBy("upload_id", "ordinal").orderBy("row_ord")
-    samples = (lv.filter(nn)
-               .withColumn("rn", F.row_number().over(w))
-               .filter(F.col("rn") <= model.SAMPLE_VALUES)
-               .groupBy("upload_id", "ordinal")
-               .agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))),
-                                lambda x: x["value"]).alias("raw_samples")))
+    agg = materialize(agg)  # one row per column; read by the sample step and the output
+    samples = first_samples(rows, agg, model.SAMPLE_VALUES)
     cdm, dtype = _class(mode)
     out = agg.join(samples, ["upload_id", "ordinal"], "left").withColumns(
         {"cdm_type": cdm, "dtype": dtype})
