@@ -45,13 +45,13 @@ from .. import model as _m  # noqa: E402
 @register("profile_columns", OP.profile_sql("typed"))
 def profile_columns(spark: SparkSession, sf: str) -> DataFrame:
     """P1-P5 typed mode over every row of every upload."""
-    return P.profile(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf), "typed")
+    return P.profile(TD.landed_rows(spark, sf), TD.sales_headers(spark, sf), "typed")
 
 
 @register("profile_columns_compat", OP.profile_sql("compat", _m.ROW_CAP))
 def profile_columns_compat(spark: SparkSession, sf: str) -> DataFrame:
     """P1-P5 in pandas-compatible mode over the first 200 rows of each upload (S3)."""
-    return P.profile(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf), "compat",
+    return P.profile(TD.landed_rows(spark, sf), TD.sales_headers(spark, sf), "compat",
                      row_cap=_m.ROW_CAP)
 
 
@@ -580,7 +580,7 @@ from .oracle_retrieve import sround as _sr  # noqa: E402
 
 
 def _typed_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return _mat(P.profile(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf), "typed"))
+    return _mat(P.profile(TD.landed_rows(spark, sf), TD.sales_headers(spark, sf), "typed"))
 
 
 def _name_sim_sql(a: str, b: str) -> str:
