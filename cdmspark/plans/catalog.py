@@ -856,3 +856,22 @@ def stream_new_uploads(spark: SparkSession, sf: str) -> DataFrame:
     SK.write_csv_uploads(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf), root)
     ST.pick_up_uploads(spark, root, out, ck)
     return spark.read.parquet(out).drop("epoch")
+
+
+# --- W4: strict state machine (rows only; not in the reference) --------------------------------
+
+from ..operators import statemachine as SM  # noqa: E402
+
+
+@register("strict_upload_states")
+def strict_upload_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordered fold of upload/map/approve/reject steps; illegal steps counted and ignored."""
+    ev = WE.events(spark, sf)
+    up = ev.filter(F.col("event_type") == "signup").select(
+        "upload_id", "ts", "event_id", F.lit("upload").alias("step"))
+    mp = WP.proposals(spark, sf).select("upload_id", F.col("proposed_at").alias("ts"),
+                                        "event_id", F.lit("map").alias("step"))
+    rv = WP.reviews(spark, sf).select(
+        "upload_id", F.col("reviewed_at").alias("ts"), "event_id",
+        F.when(F.col("decision") == "APPROVED", "approve").otherwise("reject").alias("step"))
+    return SM.strict_states(up.unionByName(mp).unionByName(rv))

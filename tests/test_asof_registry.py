@@ -54,3 +54,27 @@ def test_normalized_names(spark):
     df = values_frame(spark, [("WeekEndDate",), ("GROSS_SALES_EUR",), ("sku number",)], "c string")
     got = [r[0] for r in df.select(RG.normalized_name(F.col("c"))).collect()]
     assert got == ["week_end_date", "gross_sales_eur", "sku_number"]
+
+
+def test_strict_state_machine_matches_sequential_fold(spark):
+    import random
+    from cdmspark.operators import statemachine as SM
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(2000):
+        key = "hot" if i % 4 else f"k{i % 5}"
+        rows.append((key, base + dt.timedelta(seconds=i * 37), i, rnd.choice(SM.STEPS)))
+    df = values_frame(spark, rows, "upload_id string, ts timestamp, event_id bigint, step string")
+    got = {r["upload_id"]: (r["state"], r["illegal_steps"], r["n_steps"])
+           for r in SM.strict_states(df, pieces=8).collect()}
+    ref = {}
+    for key in {r[0] for r in rows}:
+        state, bad, n = 0, 0, 0
+        for _, _, _, step in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
+            code = SM.STEPS.index(step)
+            bad += SM.ILLEGAL[code][state]
+            state = SM.NEXT[code][state]
+            n += 1
+        ref[key] = (SM.STATES[state], bad, n)
+    assert got == ref
