@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -34,12 +35,16 @@ def get_spark(master: str | None = None, partitions: int | None = None) -> Spark
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/cdmspark-checkpoints") -> str:
-    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``); set only when unset."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``. Where it is unset, a single-machine
+    session gets a temporary folder; a cluster must name one, as its executors share no disk."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = fallback
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="cdmspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
-    return path.replace("file:", "") if path.startswith("file:") else path
+    return path
