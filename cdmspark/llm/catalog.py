@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .order_minhash import op10_order_minhash
+from .simhash import op2_simhash
 from .token_files import op8_token_files
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op8_token_files": op8_token_files,
     "op10_order_minhash": op10_order_minhash,
