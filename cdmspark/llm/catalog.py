@@ -6,8 +6,10 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .order_minhash import op10_order_minhash
 from .simhash import op2_simhash
 from .token_files import op8_token_files
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op8_token_files": op8_token_files,

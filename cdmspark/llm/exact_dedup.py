@@ -77,8 +77,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
     maybe = marked.filter("__maybe")
-    groups = maybe.groupBy("text_sha256").agg(
-        F.max(F.struct("doc_id", "__row")).alias("__keep"), F.count("*").alias("group_size"))
+    # stored, so that both sides of the join below shuffle and AQE may split a text that fills many rows
+    groups = store(maybe.groupBy("text_sha256").agg(
+        F.max(F.struct("doc_id", "__row")).alias("__keep"), F.count("*").alias("group_size")), "groups")
     repeated = maybe.join(groups, "text_sha256").select(
         "doc_id", F.col("__keep.doc_id").alias("keep_id"), "group_size",
         (F.col("__row") == F.col("__keep.__row")).alias("kept"), "text_sha256")
