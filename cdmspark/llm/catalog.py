@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
+from .html_extract import op5_html_extraction
 from .order_minhash import op10_order_minhash
 from .simhash import op2_simhash
 from .token_files import op8_token_files
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op8_token_files": op8_token_files,
     "op10_order_minhash": op10_order_minhash,
 }
