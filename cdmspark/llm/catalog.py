@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .html_extract import op5_html_extraction
+from .mixing import OP7_SQL, op7_mixing
 from .order_minhash import op10_order_minhash
 from .simhash import op2_simhash
 from .token_files import op8_token_files
 from .toxicity import op1_toxicity
+from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_html_extraction": op5_html_extraction,
+    "op6_warc": op6_warc,
+    "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLES = {
     "op3_exact_dedup": OP3_SQL,
+    "op6_warc": OP6_SQL,
+    "op7_mixing": OP7_SQL,
 }
