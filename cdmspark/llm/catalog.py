@@ -6,6 +6,7 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .html_extract import op5_html_extraction
 from .mixing import OP7_SQL, op7_mixing
 from .order_minhash import op10_order_minhash
+from .pieces import op4_sentencepiece
 from .simhash import op2_simhash
 from .token_files import op8_token_files
 from .toxicity import op1_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_html_extraction": op5_html_extraction,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
