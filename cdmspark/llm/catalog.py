@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .html_extract import op5_html_extraction
 from .mixing import OP7_SQL, op7_mixing
 from .order_minhash import op10_order_minhash
 from .pieces import op4_sentencepiece
+from .quality import op9_quality
 from .simhash import op2_simhash
 from .token_files import op8_token_files
 from .toxicity import op1_toxicity
@@ -21,7 +24,9 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
+    "op9_quality": op9_quality,
     "op10_order_minhash": op10_order_minhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
@@ -29,3 +34,6 @@ ORACLES = {
     "op6_warc": OP6_SQL,
     "op7_mixing": OP7_SQL,
 }
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

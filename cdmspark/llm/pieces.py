@@ -171,14 +171,18 @@ def decode(ids: Column, path: str) -> Column:
     return run(ids)
 
 
-def round_trip(text: Column, path: str) -> Column:
-    """Per text: n_pieces, unsigned crc32 of the little-endian int32 ids, whether they decode to it."""
-    @F.pandas_udf("n_pieces bigint, ids_crc32 bigint, decoded boolean")
+def encoded(text: Column, path: str, with_ids: bool = True) -> Column:
+    """Per text a struct: ids (if wanted), n_pieces, the unsigned crc32 of the little-endian int32
+    ids, and whether the ids decode to the text."""
+    kind = "n_pieces bigint, ids_crc32 bigint, decoded boolean"
+
+    @F.pandas_udf(f"ids array<int>, {kind}" if with_ids else kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             m, texts = model(path), list(texts)
             ids = m.encode(texts)
-            yield pd.DataFrame({
+            out = {"ids": [np.frombuffer(x, "<i4") for x in ids]} if with_ids else {}
+            yield pd.DataFrame(out | {
                 "n_pieces": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids],
                 "decoded": [m.decode(np.frombuffer(x, "<i4").tolist()) == t for x, t in zip(ids, texts)]})
 
@@ -192,4 +196,4 @@ def public_model() -> str:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return docs.select("doc_id", round_trip(whole_text(), public_model()).alias("r")).select("doc_id", "r.*")
+    return docs.select("doc_id", encoded(whole_text(), public_model(), with_ids=False).alias("r")).select("doc_id", "r.*")
