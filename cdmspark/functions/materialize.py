@@ -1,15 +1,22 @@
-"""Cut lineage of an intermediate that several branches read (reliable checkpoint)."""
+"""Cut lineage of an intermediate that several branches read: a Parquet table in the shared folder."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder (``spark.checkpoint.dir``) and read it
-    back: branches stop recomputing its plan, and lost executors re-read files instead of
-    re-running the lineage. Never a machine-local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once below the folder of ``spark.checkpoint.dir`` and read it back: branches
+    stop recomputing its plan, read only the columns they use, and a lost executor costs a read of
+    files. The files' size is known to the planner, so a small table is broadcast by its bytes."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    typed = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if t == "void" else F.col(f"`{c}`")
+                        for c, t in df.dtypes])
+    typed.write.parquet(path)
+    return spark.read.schema(typed.schema).parquet(path)

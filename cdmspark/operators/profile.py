@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions.exprs import broadcast_if_small, is_null_token, layout_id_of, layout_text
+from ..functions.exprs import is_null_token, layout_id_of, layout_text
 from ..functions.materialize import materialize
 
 INT_RX = r"^[-+]?[0-9]+$"
@@ -108,7 +108,7 @@ def first_samples(rows: DataFrame, agg: DataFrame, k: int = model.SAMPLE_VALUES,
                     < F.least(F.col("n_nonnull"), F.lit(k)))
             .select("upload_id", "ordinal"))
     lv = long_values(rows).filter(~is_null_token(F.col("value")))
-    slow = _top_values(lv.join(F.broadcast(need), ["upload_id", "ordinal"]), k, "row_ord")
+    slow = _top_values(lv.join(need, ["upload_id", "ordinal"]), k, "row_ord")
     return quick.join(need, ["upload_id", "ordinal"], "left_anti").unionByName(slow)
 
 
@@ -150,8 +150,7 @@ def profile(rows: DataFrame, headers: DataFrame, mode: str = "typed",
     """One row per (upload, column), in PROFILE_SCHEMA order."""
     r = cap_rows(rows, row_cap) if row_cap else rows
     st = column_stats(r, mode)
-    h = broadcast_if_small(headers.select("upload_id", "names"))
-    return (st.join(h, "upload_id")
+    return (st.join(headers.select("upload_id", "names"), "upload_id")
             .select("upload_id",
                     F.element_at("names", F.col("ordinal")).alias("column_name"),
                     F.col("ordinal").cast("int").alias("ordinal"),
@@ -188,9 +187,8 @@ def profile_json(profile_rows: DataFrame) -> DataFrame:
 def sample_rows_json(rows: DataFrame, headers: DataFrame, n: int = model.SAMPLE_ROWS) -> DataFrame:
     """(upload_id, sample_data_json) — the first ``n`` rows as JSON records, text values."""
     first = cap_rows(rows, n)
-    h = broadcast_if_small(headers.select("upload_id", "names"))
     rec = F.map_from_arrays("names", F.slice("vals", 1, F.size("names")))
-    return (first.join(h, "upload_id")
+    return (first.join(headers.select("upload_id", "names"), "upload_id")
             .groupBy("upload_id")
             .agg(F.array_sort(F.collect_list(F.struct("row_no", F.to_json(rec).alias("rec"))))
                  .alias("r"))

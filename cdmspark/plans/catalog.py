@@ -32,6 +32,18 @@ def load_report(spark: SparkSession, sf: str) -> DataFrame:
     return C.load_report(SP.checked(spark, sf))
 
 
+@register("load_accounting", OS.load_accounting_sql(SP.UNAPPROVED))
+def load_accounting(spark: SparkSession, sf: str) -> DataFrame:
+    """C1 + C7: no row is lost on the way in, with an upload that has no approved mapping."""
+    return SP.load_accounting(spark, sf)
+
+
+@register("conform_transformed", OS.transformed_sql())
+def conform_transformed(spark: SparkSession, sf: str) -> DataFrame:
+    """C3 + C4: divide, multiply, casts, dates, trim, upper, lower; unusable ones are rejected."""
+    return SP.conform_transformed(spark, sf)
+
+
 # --- profiling (P1-P9, S3, S4, S12) -------------------------------------------------------
 
 from ..operators import profile as P  # noqa: E402
@@ -132,6 +144,13 @@ def approved_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return W.approved_corpus(WP.reviews(spark, sf))
 
 
+@register("approved_load", OS.approved_load_sql(
+    OW.approved_sql(), OW.entries_sql("SELECT * FROM a", "cdm_mapping", ["mapping_id"])))
+def approved_load(spark: SparkSession, sf: str) -> DataFrame:
+    """W5 -> M14 -> C1 -> S11: approved mappings, edits included, decide what is loaded."""
+    return SP.approved_load(spark, sf)
+
+
 @register("mapping_entries", OW.entries_sql(OW.proposals_sql(), "mapping_json", ["mapping_id"]))
 def mapping_entries(spark: SparkSession, sf: str) -> DataFrame:
     """M14 + M13: entries of every proposal with confidence band and percent."""
@@ -791,8 +810,7 @@ def _csv_round_trip(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]
     rows, heads = CU.read_uploads(spark, root)
     # name each upload by its folder (the fixture writer puts one upload per folder)
     key = heads.select("upload_id", F.col("upload_dir").alias("u"))
-    rows = rows.join(F.broadcast(key), "upload_id").drop("upload_id").withColumnRenamed("u",
-                                                                                        "upload_id")
+    rows = rows.join(key, "upload_id").drop("upload_id").withColumnRenamed("u", "upload_id")
     heads = heads.drop("upload_id").withColumnRenamed("upload_dir", "upload_id")
     return rows, heads
 
@@ -820,7 +838,7 @@ def reload_sales(spark: SparkSession, sf: str) -> DataFrame:
     checked = SP.checked(spark, sf)
     SK.load_sales(spark, checked, root)
     SK.load_sales(spark, checked, root)
-    return spark.read.parquet(f"{root}/sales").select(*_m.SALES_COLUMNS)
+    return SK.read_sales(spark, root)
 
 
 _STATUS_SCHEMA = "upload_id string, ts timestamp_ntz, event_id bigint, status string"

@@ -117,14 +117,76 @@ def load_report_sql() -> str:
     return f"""
 SELECT upload_id, customer_id, count(*) AS rows_read,
        count(*) FILTER (WHERE NOT bad_rev AND NOT bad_sku) AS rows_loaded,
-       count(*) FILTER (WHERE bad_sku) AS rows_missing_required,
-       count(*) FILTER (WHERE bad_rev) AS rows_cast_error,
+       count(*) FILTER (WHERE bad_sku OR bad_rev) AS rows_missing_required,
+       CAST(0 AS BIGINT) AS rows_cast_error,
        CAST(0 AS BIGINT) AS rows_bad_transformation
 FROM ({checked_select()}) x
 GROUP BY upload_id, customer_id
 """
 
 
+def load_accounting_sql(without: int) -> str:
+    """Rows in the file = loaded + rejected per upload, when layout ``without`` has no mapping."""
+    return f"""
+SELECT upload_id, count(*) AS rows_in_file,
+       count(*) FILTER (WHERE NOT none AND NOT bad_rev AND NOT bad_sku) AS rows_loaded,
+       count(*) FILTER (WHERE none OR bad_rev OR bad_sku) AS rows_rejected,
+       count(*) FILTER (WHERE none) AS rows_without_mapping, TRUE AS balanced
+FROM (SELECT *, starts_with(upload_id, 'U{without}_') AS none FROM ({checked_select()}) x) y
+GROUP BY upload_id
+"""
+
+
+def transformed_sql() -> str:
+    """The rows of layouts 0 and 1 under the transformations of ``plans.sales.TRANSFORMED``; the
+    layouts after them are rejected (an unsupported text, a field claimed twice, a bad pattern) or
+    lose rows to a cast of revenue to a whole number."""
+    cols = ", ".join(c for c in model.SALES_COLUMNS if c not in (
+        "revenue", "discount", "net_revenue", "margin", "units_sold", "product_name", "channel", "cost"))
+    return f"""
+WITH x AS (SELECT *, CAST(substr(upload_id, 2, 1) AS INTEGER) AS lay FROM ({checked_select()}) c
+           WHERE NOT bad_rev AND NOT bad_sku),
+v AS (SELECT * REPLACE (
+        CASE lay WHEN 0 THEN CAST(revenue * 0.01 AS DECIMAL(18,2)) WHEN 1 THEN CAST(round(revenue, 1) AS DECIMAL(18,2))
+                 ELSE revenue END AS revenue,
+        CASE lay WHEN 0 THEN CAST(discount * 2.5 AS DECIMAL(18,2)) ELSE discount END AS discount,
+        CASE WHEN lay = 0 THEN units_sold * 3 ELSE units_sold END AS units_sold,
+        CASE lay WHEN 0 THEN upper(product_name) WHEN 1 THEN trim(product_name) ELSE product_name END AS product_name,
+        CASE WHEN lay = 0 THEN lower(channel) ELSE channel END AS channel,
+        CASE WHEN lay IN (0, 1) THEN CAST(NULL AS DECIMAL(18,2)) ELSE net_revenue END AS net_revenue)
+      FROM x WHERE lay IN (0, 1) OR (lay = 5 AND revenue = floor(revenue)))
+SELECT {cols}, revenue, discount, coalesce(net_revenue, CAST(revenue - discount AS DECIMAL(18,2))) AS net_revenue,
+       cost, CASE WHEN lay = 0 THEN CAST(revenue - cost AS DECIMAL(18,2)) ELSE margin END AS margin,
+       units_sold, product_name, channel
+FROM v
+"""
+
+
+def approved_load_sql(approved: str, entries: str) -> str:
+    """Rows loaded under the latest approval of each layout: its last column is loaded only if that
+    approval maps it."""
+    last = {i: model.layout_fields(i)[-1] for i in range(len(model.LAYOUTS))}
+    names = " ".join(f"WHEN {i} THEN sha256('{' '.join(model.layout_names(i))}')" for i in last)
+    gone = {f: "lay IN (" + ", ".join(str(i) for i, g in last.items() if g == f) + ")" for f in set(last.values())}
+    pick = ", ".join(f"CASE WHEN {gone[f]} AND NOT has_last THEN NULL ELSE {f} END AS {f}" for f in sorted(gone))
+    cols = ", ".join(f"x.{c}" for c in model.SALES_COLUMNS if c not in gone)
+    fields = " ".join(f"WHEN {i} THEN '{f}'" for i, f in last.items())
+    return f"""
+WITH a AS ({approved}),
+top AS (SELECT sha256(array_to_string(json_keys(source_schema), ' ')) AS layout_id,
+               arg_max(mapping_id, (approved_at, mapping_id)) AS mapping_id FROM a GROUP BY 1),
+e AS ({entries}),
+lay AS (SELECT l.lay, CASE l.lay {names} END AS layout_id, CASE l.lay {fields} END AS last_field
+        FROM (SELECT unnest(range({len(last)})) AS lay) l),
+has AS (SELECT lay.lay, count(e.cdm_field) > 0 AS has_last
+        FROM lay JOIN top USING (layout_id) LEFT JOIN e ON e.mapping_id = top.mapping_id AND e.cdm_field = lay.last_field
+        GROUP BY lay.lay)
+SELECT {cols}, {pick}
+FROM (SELECT *, CAST(substr(upload_id, 2, 1) AS INTEGER) AS lay FROM ({checked_select()}) c) x JOIN has USING (lay)
+WHERE NOT bad_rev AND NOT bad_sku
+"""
+
+
 def _text_values() -> dict[str, str]:
     """DuckDB text rendering of each CDM field, as the raw file would carry it."""
     return {
