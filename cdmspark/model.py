@@ -175,16 +175,12 @@ VARCHAR_LIMITS = {
 ACCEPTED_SUFFIXES = [".csv", ".xls", ".xlsx"]
 
 # Reference limits kept as features: rows read per upload, sample rows, samples per column,
-# neighbours per upload, samples per column in a prompt, sample rows in a prompt, prompt cuts.
+# neighbours per upload, sample rows in a prompt.
 ROW_CAP = 200
 SAMPLE_ROWS = 5
 SAMPLE_VALUES = 3
 NEIGHBOURS = 3
-PROMPT_SAMPLES_PER_COLUMN = 2
 PROMPT_SAMPLE_ROWS = 3
-PROMPT_SAMPLE_CHARS = 1000
-PROMPT_FEWSHOT_COLUMNS = 8
-PROMPT_FEWSHOT_CHARS = 400
 
 # pandas' default tokens read as missing in a CSV cell.
 PANDAS_NULL_TOKENS = [

@@ -1,54 +1,61 @@
-"""Data checks the relational store used to enforce (V1-V5), as aggregates over the tables.
+"""Data checks the relational store used to enforce (V1-V5): all checks of a table in one pass.
 
 Each check returns counts, never raises: one row per (table, check) with the offending count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
 
 
-def _one(df: DataFrame, table: str, check: str, bad: F.Column) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_bad")).select(
-        F.lit(table).alias("table_name"), F.lit(check).alias("check_name"), "n_rows", "n_bad")
+def not_null(cols: list[str]) -> dict[str, Column]:
+    """V3: NULLs in NOT NULL columns."""
+    return {f"not null {c}": F.col(c).isNull() for c in cols}
 
 
-def primary_key(df: DataFrame, table: str, key: str) -> DataFrame:
-    """V1: rows whose key is NULL or shared with another row."""
-    dup = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return dup.agg(F.sum("n").alias("n_rows"),
-                   F.sum(F.when(F.col(key).isNull() | (F.col("n") > 1), F.col("n"))
-                         .otherwise(F.lit(0))).alias("n_bad")).select(
-        F.lit(table).alias("table_name"), F.lit(f"primary key {key}").alias("check_name"),
-        F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
-        F.coalesce("n_bad", F.lit(0)).cast("bigint").alias("n_bad"))
+def max_length(df: DataFrame, limits: dict[str, int]) -> dict[str, Column]:
+    """V3: text longer than its VARCHAR(n)."""
+    return {f"length {c} <= {n}": F.length(F.col(c)) > n for c, n in limits.items() if c in df.columns}
 
 
-def foreign_key(child: DataFrame, table: str, col: str, parent: DataFrame,
-                parent_key: str) -> DataFrame:
-    """V2: child rows whose reference has no parent row (NULL references count as orphans)."""
-    p = parent.select(F.col(parent_key).alias(col)).distinct().withColumn("_hit", F.lit(True))
-    j = child.select(col).join(p, col, "left")
-    return _one(j, table, f"foreign key {col}", F.col("_hit").isNull())
+def allowed_values(col: str, allowed: list[str]) -> dict[str, Column]:
+    """V4: values outside the allowed list (NULL passes, as in a CHECK constraint)."""
+    return {f"allowed {col}": F.col(col).isNotNull() & ~F.col(col).isin(*allowed)}
 
 
-def not_null(df: DataFrame, table: str, cols: list[str]) -> list[DataFrame]:
-    """V3: NULLs in NOT NULL columns."""
-    return [_one(df, table, f"not null {c}", F.col(c).isNull()) for c in cols]
+def defaults_applied(defaults: dict[str, object]) -> dict[str, Column]:
+    """V5: rows that take each default."""
+    return {f"default {c}": F.col(c).isNull() for c in defaults}
 
 
-def max_length(df: DataFrame, table: str, limits: dict[str, int]) -> list[DataFrame]:
-    """V3: text longer than its VARCHAR(n)."""
-    return [_one(df, table, f"length {c} <= {n}", F.length(F.col(c)) > n)
-            for c, n in limits.items() if c in df.columns]
+def with_parent(child: DataFrame, col: str, parent: DataFrame, parent_key: str) -> tuple[DataFrame, dict[str, Column]]:
+    """V2: the child with a flag for its parent, and the check that a reference has a parent row
+    (a NULL reference counts as an orphan)."""
+    flag = f"_has_{col}"
+    keys = parent.select(F.col(parent_key).alias(col)).distinct().withColumn(flag, F.lit(True))
+    return child.join(keys, col, "left"), {f"foreign key {col}": F.col(flag).isNull()}
 
 
-def allowed_values(df: DataFrame, table: str, col: str, allowed: list[str]) -> DataFrame:
-    """V4: values outside the allowed list (NULL passes, as in a CHECK constraint)."""
-    return _one(df, table, f"allowed {col}", F.col(col).isNotNull() & ~F.col(col).isin(*allowed))
+def check_table(df: DataFrame, table: str, key: str | None, checks: dict[str, Column]) -> DataFrame:
+    """(table_name, check_name, n_rows, n_bad): V1 (the key is NULL or shared) where there is a key,
+    and every other check, in one aggregate by key and one over its groups."""
+    names = list(checks)
+    flags = [F.count_if(checks[n]).alias(f"b{i}") for i, n in enumerate(names)]
+    if key:
+        per = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"), *flags)
+        pk = [F.sum(F.when(F.col("k").isNull() | (F.col("n") > 1), F.col("n")).otherwise(0)).alias("pk")]
+        total = per.agg(F.sum("n").alias("n"), *pk, *[F.sum(f"b{i}").alias(f"b{i}") for i in range(len(names))])
+    else:
+        total = df.agg(F.count(F.lit(1)).alias("n"), *flags)
+    rows = [(f"primary key {key}", "pk")] if key else []
+    rows += [(n, f"b{i}") for i, n in enumerate(names)]
+    return total.select(F.inline(F.array(*[F.struct(
+        F.lit(table).alias("table_name"), F.lit(n).alias("check_name"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"),
+        F.coalesce(c, F.lit(0)).cast("bigint").alias("n_bad")) for n, c in rows])))
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
@@ -57,11 +64,6 @@ def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
                            if c in df.columns})
 
 
-def defaults_applied(df: DataFrame, table: str, defaults: dict[str, object]) -> list[DataFrame]:
-    """V5: how many rows take each default."""
-    return [_one(df, table, f"default {c}", F.col(c).isNull()) for c in defaults if c in df.columns]
-
-
 def union_all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

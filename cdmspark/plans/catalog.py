@@ -79,7 +79,11 @@ def sample_rows_json(spark: SparkSession, sf: str) -> DataFrame:
     return P.sample_rows_json(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf))
 
 
-@register("profile_json")
+@register("profile_json", f"""
+  SELECT upload_id, '{{' || string_agg(to_json(column_name) || ':' || to_json({{
+           'dtype': dtype, 'cdm_type': cdm_type, 'sample_values': sample_values, 'null_count': null_count,
+           'unique_count': unique_count}}), ',' ORDER BY ordinal) || '}}' AS schema_json
+  FROM ({OP.profile_sql("typed")}) p GROUP BY upload_id""")
 def profile_json(spark: SparkSession, sf: str) -> DataFrame:
     """The profile of each upload as one JSON document (form 1)."""
     return P.profile_json(profile_columns(spark, sf))
@@ -104,6 +108,7 @@ from ..operators import workflow as W  # noqa: E402
 from ..sources import workflow_events as WE  # noqa: E402
 from . import oracle_workflow as OW  # noqa: E402
 from . import workflow as WP  # noqa: E402
+from ..functions.materialize import materialize as _mat  # noqa: E402
 
 
 @register("parse_replies", f"""
@@ -135,7 +140,7 @@ def mapping_status(spark: SparkSession, sf: str) -> DataFrame:
 @register("validate_decisions", OW.validated_sql())
 def validate_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """W3 + W7 + V5: decision batch checked against proposals and uploads."""
-    return WP.validated(spark, sf)
+    return WP.Flow(spark, sf).validated
 
 
 @register("approved_corpus", OW.approved_sql())
@@ -234,8 +239,8 @@ def edit_history(spark: SparkSession, sf: str) -> DataFrame:
   WHERE m.status = 'PENDING'""")
 def pending_queue(spark: SparkSession, sf: str) -> DataFrame:
     """J1 (F3 'pending'): pending proposals with upload details."""
-    return W.reviews_view("pending", WP.review_table(spark, sf), WP.mappings_with_status(spark, sf),
-                          WE.uploads(spark, sf))
+    f = WP.Flow(spark, sf)
+    return W.reviews_view("pending", f.review_table, f.mappings_with_status, f.uploads)
 
 
 @register("completed_reviews", f"""
@@ -246,8 +251,8 @@ def pending_queue(spark: SparkSession, sf: str) -> DataFrame:
   JOIN ({OW.uploads_sql()}) u ON u.upload_id = r.upload_id""")
 def completed_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """J2 (F3 'completed'): reviews with proposal and upload details (3-way join)."""
-    return W.reviews_view("completed", WP.review_table(spark, sf), WP.proposals(spark, sf),
-                          WE.uploads(spark, sf))
+    f = WP.Flow(spark, sf)
+    return W.reviews_view("completed", f.review_table, f.proposals, f.uploads)
 
 
 @register("all_mappings", f"""
@@ -255,8 +260,8 @@ def completed_reviews(spark: SparkSession, sf: str) -> DataFrame:
   FROM ({OW.mapping_status_sql()}) m JOIN ({OW.uploads_sql()}) u USING (upload_id)""")
 def all_mappings(spark: SparkSession, sf: str) -> DataFrame:
     """J3 (F3 default): every proposal with upload details."""
-    return W.reviews_view(None, WP.review_table(spark, sf), WP.mappings_with_status(spark, sf),
-                          WE.uploads(spark, sf))
+    f = WP.Flow(spark, sf)
+    return W.reviews_view(None, f.review_table, f.mappings_with_status, f.uploads)
 
 
 @register("mapping_detail", f"""
@@ -264,7 +269,8 @@ def all_mappings(spark: SparkSession, sf: str) -> DataFrame:
   FROM ({OW.mapping_status_sql()}) m LEFT JOIN ({OW.uploads_sql()}) u USING (upload_id)""")
 def mapping_detail(spark: SparkSession, sf: str) -> DataFrame:
     """Every proposal with its upload when there is one."""
-    return W.mapping_detail(WP.mappings_with_status(spark, sf), WE.uploads(spark, sf))
+    f = WP.Flow(spark, sf)
+    return W.mapping_detail(f.mappings_with_status, f.uploads)
 
 
 @register("entries_with_definitions", f"""
@@ -289,9 +295,9 @@ def uploads_for_customer(spark: SparkSession, sf: str) -> DataFrame:
                      FROM ({OW.uploads_sql()}) x)""")
 def latest_upload_detail(spark: SparkSession, sf: str) -> DataFrame:
     """key lookup of one upload — the most recently uploaded one (empty if none)."""
-    ups = WE.uploads(spark, sf)
-    key = ups.agg(F.max_by("upload_id", F.struct("uploaded_at", "upload_id")).alias("upload_id"))
-    return WP.uploads_with_status(spark, sf).join(F.broadcast(key), "upload_id")
+    f = WP.Flow(spark, sf)
+    key = f.uploads.agg(F.max_by("upload_id", F.struct("uploaded_at", "upload_id")).alias("upload_id"))
+    return f.uploads_with_status.join(F.broadcast(key), "upload_id")
 
 
 @register("uploads_newest_first", f"""
@@ -407,34 +413,38 @@ def _customers(spark: SparkSession) -> DataFrame:
 
 
 def _checks_frames(spark: SparkSession, sf: str) -> DataFrame:
-    ups = WP.uploads_with_status(spark, sf)
-    maps = WP.mappings_with_status(spark, sf)
-    revs = WP.review_table(spark, sf)
-    reqs = WP.decisions(spark, sf)  # decision requests before validation
-    parts = [
-        CK.primary_key(ups, "uploads", "upload_id"),
-        CK.primary_key(maps, "schema_mappings", "mapping_id"),
-        CK.primary_key(revs, "mapping_reviews", "review_id"),
-        CK.foreign_key(ups, "uploads", "customer_id", _customers(spark), "customer_id"),
-        CK.foreign_key(maps, "schema_mappings", "upload_id", ups, "upload_id"),
-        CK.foreign_key(reqs, "decision_requests", "mapping_id", maps, "mapping_id"),
-        *CK.not_null(ups, "uploads", ["customer_id", "file_name"]),
-        *CK.not_null(maps, "schema_mappings", ["upload_id", "customer_id", "mapping_json"]),
-        *CK.max_length(ups, "uploads", _m.VARCHAR_LIMITS["uploads"]),
-        *CK.max_length(maps, "schema_mappings", _m.VARCHAR_LIMITS["schema_mappings"]),
-        *CK.max_length(revs, "mapping_reviews", _m.VARCHAR_LIMITS["mapping_reviews"]),
-        CK.allowed_values(ups, "uploads", "status", _m.UPLOAD_STATUSES),
-        CK.allowed_values(maps, "schema_mappings", "status", _m.MAPPING_STATUSES),
-        CK.allowed_values(revs, "mapping_reviews", "decision", _m.DECISIONS),
-        *CK.defaults_applied(reqs, "decision_requests", CK.REVIEW_DEFAULTS),
-    ]
-    return CK.union_all(parts)
+    f = WP.Flow(spark, sf)
+    ups, maps = _mat(f.uploads_with_status), _mat(f.mappings_with_status)
+    revs, reqs = f.review_table, f.decisions  # decision requests before validation
+    cust = _customers(spark)
+    ups1, up_fk = CK.with_parent(ups, "customer_id", cust, "customer_id")
+    maps1, map_fk = CK.with_parent(maps, "upload_id", ups, "upload_id")
+    reqs1, req_fk = CK.with_parent(reqs, "mapping_id", maps, "mapping_id")
+    lim = _m.VARCHAR_LIMITS
+    return CK.union_all([
+        CK.check_table(cust, "customers", "customer_id", CK.not_null(["customer_id", "customer_name"])
+                       | CK.max_length(cust, lim["customers"])),
+        CK.check_table(ups1, "uploads", "upload_id", up_fk | CK.not_null(["customer_id", "file_name"])
+                       | CK.max_length(ups, lim["uploads"]) | CK.allowed_values("status", _m.UPLOAD_STATUSES)
+                       | {"default status": F.col("status_at").isNull()}
+                       | CK.defaults_applied({"source_system": CK.UPLOAD_DEFAULTS["source_system"]})),
+        CK.check_table(maps1, "schema_mappings", "mapping_id",
+                       map_fk | CK.not_null(["upload_id", "customer_id", "mapping_json"])
+                       | CK.max_length(maps, lim["schema_mappings"])
+                       | CK.allowed_values("status", _m.MAPPING_STATUSES) | CK.defaults_applied(CK.MAPPING_DEFAULTS)),
+        CK.check_table(revs, "mapping_reviews", "review_id", CK.max_length(revs, lim["mapping_reviews"])
+                       | CK.allowed_values("decision", _m.DECISIONS)),
+        CK.check_table(reqs1, "decision_requests", None, req_fk | CK.defaults_applied(CK.REVIEW_DEFAULTS)),
+    ])
 
 
 def _checks_sql() -> str:
     ups, maps = OW.upload_status_sql(), OW.mapping_status_sql()
     revs, reqs = OW.reviews_sql(), OW.decisions_sql()
     cust = ", ".join(f"'{c[0]}'" for c in _m.CUSTOMERS)
+    people = " UNION ALL ".join(
+        "SELECT " + ", ".join(f"'{v}' AS {n}" for n, v in zip(
+            ["customer_id", "customer_name", "industry", "contact_email"], c)) for c in _m.CUSTOMERS)
 
     def one(src, table, check, bad):
         return (f"SELECT '{table}' AS table_name, '{check}' AS check_name, "
@@ -462,6 +472,13 @@ def _checks_sql() -> str:
     map_cols = _MAP_COLS + ["status"]
     rev_cols = WP.REVIEW_COLUMNS
     parts = [
+        pk(people, "customers", "customer_id"),
+        one(people, "customers", "not null customer_id", "customer_id IS NULL"),
+        one(people, "customers", "not null customer_name", "customer_name IS NULL"),
+        *lens(people, "customers", _m.VARCHAR_LIMITS["customers"], list(_m.VARCHAR_LIMITS["customers"])),
+        one(ups, "uploads", "default status", "status_at IS NULL"),
+        one(ups, "uploads", "default source_system", "source_system IS NULL"),
+        one(maps, "schema_mappings", "default status", "status IS NULL"),
         pk(ups, "uploads", "upload_id"), pk(maps, "schema_mappings", "mapping_id"),
         pk(revs, "mapping_reviews", "review_id"),
         fk(ups, "uploads", "customer_id", f"SELECT unnest([{cust}]) AS customer_id", "customer_id"),
@@ -498,6 +515,7 @@ def data_checks(spark: SparkSession, sf: str) -> DataFrame:
 # --- retrieval (M1-M4, M15) -----------------------------------------------------------------
 
 from ..operators import retrieve as RT  # noqa: E402
+from ..functions import exprs as AKX  # noqa: E402
 from . import oracle_retrieve as ORT  # noqa: E402
 
 
@@ -513,17 +531,31 @@ def _doc_tfidf(spark: SparkSession, sf: str):
 
 def schema_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Approved mappings with their source column names."""
-    from ..functions.materialize import materialize
-    return materialize(W.approved_corpus(WP.reviews(spark, sf)).withColumn(
+    return _mat(W.approved_corpus(WP.reviews(spark, sf)).withColumn(
         "names", F.json_object_keys("source_schema")))
 
 
-def _schema_top(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = schema_corpus(spark, sf)
+def _schema_features(spark: SparkSession, sf: str):
+    """(corpus rows with their layout, queries, TF-IDF over the corpus' distinct layouts)."""
+    corpus = schema_corpus(spark, sf).withColumn("layout_id", AKX.layout_id_of(F.col("names")))
     queries = TD.sales_headers(spark, sf)
-    cw, qw, st = RT.tfidf(RT.schema_terms(corpus, "mapping_id", "names"),
-                          RT.schema_terms(queries, "upload_id", "names"))
-    return RT.topk_sparse(cw, qw, st, k=_m.NEIGHBOURS)
+    texts = _mat(corpus.groupBy("layout_id").agg(F.min("names").alias("names"), F.count(F.lit(1)).alias("n")))
+    weights = RT.tfidf(RT.schema_terms(texts, "layout_id", "names"), RT.schema_terms(queries, "upload_id", "names"),
+                       texts.select(F.col("layout_id").alias("id"), "n"))
+    return corpus, queries, weights
+
+
+def _schema_top(spark: SparkSession, sf: str, other_layouts: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(top-k mapping ids per upload, corpus rows): the corpus holds few distinct layouts, so those are
+    scored and expanded to their lowest mapping ids; optionally without the upload's own layout."""
+    corpus, queries, (cw, qw, st) = _schema_features(spark, sf)
+    groups = (queries.select(F.col("upload_id").alias("id"), F.col("layout_id").alias("grp")),
+              corpus.select(F.col("layout_id").alias("id"), F.col("layout_id").alias("grp")).distinct()) \
+        if other_layouts else None
+    top = RT.topk_sparse(cw, qw, st, k=_m.NEIGHBOURS, groups=groups)
+    members = corpus.select(F.col("layout_id").alias("doc_id"), F.col("mapping_id").alias("id"))
+    top = RT.expand_copies(top, members, _m.NEIGHBOURS)
+    return RT.with_all_queries(top, queries.select(F.col("upload_id").alias("query_id"))), corpus
 
 
 @register("similar_documents", ORT.documents_sql())
@@ -536,20 +568,20 @@ def similar_documents(spark: SparkSession, sf: str) -> DataFrame:
 @register("similar_schemas", ORT.schemas_sql())
 def similar_schemas(spark: SparkSession, sf: str) -> DataFrame:
     """M1 + M2: for every upload, the 3 most similar approved mappings by column-name trigrams."""
-    return _out(_schema_top(spark, sf))
+    return _out(_schema_top(spark, sf)[0])
 
 
 @register("schema_neighbours", ORT.schema_neighbours_sql())
 def schema_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """M4: the neighbours' mapping_id, customer_id, source_schema and cdm_mapping."""
-    top = _out(_schema_top(spark, sf))
-    return RT.neighbour_rows(top, schema_corpus(spark, sf))
+    top, corpus = _schema_top(spark, sf)
+    return RT.neighbour_rows(_out(top), corpus)
 
 
 @register("neighbour_ids", ORT.neighbour_ids_sql())
 def neighbour_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of the neighbours used per upload, in rank order, and their count."""
-    return RT.neighbour_ids(_schema_top(spark, sf))
+    return RT.neighbour_ids(_schema_top(spark, sf)[0])
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -559,25 +591,25 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("similar_vectors", ORT.vectors_sql())
 def similar_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """M2 dense: exact top-3 cosine neighbours of every vector (pivot-bucket pruning)."""
+    """M2 dense: exact top-3 cosine neighbours of every vector, as products of blocks."""
     v = _vectors(spark, sf)
     return _out(RT.topk_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True))
 
 
 @register("similar_vectors_lsh")
 def similar_vectors_lsh(spark: SparkSession, sf: str) -> DataFrame:
-    """M3 dense: approximate top-3 by random-projection LSH."""
+    """M3 dense: approximate top-3 from an inverted file (about 8 % of all pairs are compared)."""
     v = _vectors(spark, sf)
     return _out(RT.approx_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True))
 
 
 @register("lsh_recall")
 def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """M3: recall of the LSH top-3 against the exact top-3 (dense vectors)."""
+    """M3: recall of the approximate top-3 against the exact one, and the share of pairs compared."""
     v = _vectors(spark, sf)
     exact = RT.topk_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True)
     approx = RT.approx_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True)
-    return RT.recall(exact, approx)
+    return RT.recall(exact, approx).crossJoin(RT.candidate_share(v, v))
 
 
 @register("similar_documents_minhash")
@@ -592,7 +624,6 @@ def similar_documents_minhash(spark: SparkSession, sf: str) -> DataFrame:
 # --- proposals (M5, M6, M10, M11) -------------------------------------------------------------
 
 from ..operators import propose as PR  # noqa: E402
-from ..functions.materialize import materialize as _mat  # noqa: E402
 from .oracle_profile import profile_sql as _profile_sql  # noqa: E402
 from .oracle_registry import _norm as _norm_sql  # noqa: E402
 from .oracle_retrieve import sround as _sr  # noqa: E402
@@ -650,14 +681,7 @@ def column_field_scores(spark: SparkSession, sf: str) -> DataFrame:
 def _loo_proposals(spark: SparkSession, sf: str) -> DataFrame:
     """Propose for every sales upload with neighbours from other layouts only."""
     prof = _typed_profile(spark, sf)
-    heads = TD.sales_headers(spark, sf)
-    corpus = schema_corpus(spark, sf).withColumn("layout_id", F.sha2(F.array_join("names", " "),
-                                                                      256))
-    cw, qw, st = RT.tfidf(RT.schema_terms(corpus, "mapping_id", "names"),
-                          RT.schema_terms(heads, "upload_id", "names"))
-    groups = (heads.select(F.col("upload_id").alias("id"), F.col("layout_id").alias("grp")),
-              corpus.select(F.col("mapping_id").alias("id"), F.col("layout_id").alias("grp")))
-    top = RT.topk_sparse(cw, qw, st, k=_m.NEIGHBOURS, groups=groups)
+    top, corpus = _schema_top(spark, sf, other_layouts=True)
     entries = MD.mapping_entries(corpus, "cdm_mapping", ("mapping_id",))
     votes = PR.neighbour_votes(top, entries)
     return PR.proposals(prof, _cdm(spark), votes)
@@ -679,14 +703,24 @@ def proposal_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return PR.accuracy(_loo_proposals(spark, sf), gold)
 
 
-@register("mapping_prompts")
+@register("mapping_prompts", f"""
+  WITH fields AS (SELECT to_json(list({{'field': field_name, 'type': data_type, 'meaning': description,
+                                       'example': example_values}} ORDER BY field_id)) AS j FROM ({ORG.seed_sql()}) c),
+  cols AS (SELECT upload_id, to_json(list({{'column': column_name, 'type': cdm_type, 'samples': sample_values}}
+                                          ORDER BY ordinal)) AS j FROM ({OP.profile_sql("typed")}) p GROUP BY upload_id),
+  few AS (SELECT query_id, to_json(list({{'customer': customer_id, 'columns': json_keys(source_schema),
+                                         'answer': cdm_mapping}} ORDER BY rank)) AS j
+          FROM ({ORT.schema_neighbours_sql()}) n GROUP BY query_id)
+  SELECT cols.upload_id, '{PR.SYSTEM_PROMPT}' AS system_prompt,
+         '{{"target_fields":' || fields.j || ',"columns":' || cols.j || ',"rows":' || coalesce(s.sample_data_json, '[]')
+         || ',"approved":' || coalesce(few.j, '[]') || '}}' AS user_prompt
+  FROM cols CROSS JOIN fields LEFT JOIN ({OP.sample_rows_sql(_m.PROMPT_SAMPLE_ROWS)}) s USING (upload_id)
+  LEFT JOIN few ON few.query_id = cols.upload_id""")
 def mapping_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """Prompt text per upload (CDM lines, columns with samples, rows, similar mappings)."""
     prof = _typed_profile(spark, sf)
-    samples = P.sample_rows_json(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf),
-                                 _m.PROMPT_SAMPLE_ROWS)
-    nb = RT.neighbour_rows(_schema_top(spark, sf), schema_corpus(spark, sf)).withColumnRenamed(
-        "query_id", "upload_id")
+    samples = P.sample_rows_json(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf), _m.PROMPT_SAMPLE_ROWS)
+    nb = RT.neighbour_rows(*_schema_top(spark, sf)).withColumnRenamed("query_id", "upload_id")
     return PR.prompts(prof, samples, _cdm(spark), nb)
 
 
@@ -725,8 +759,8 @@ def unmapped_columns(spark: SparkSession, sf: str) -> DataFrame:
 def seen_before(spark: SparkSession, sf: str) -> DataFrame:
     """Q3: has a similar schema been seen before — exact layout matches and the nearest one."""
     heads = TD.sales_headers(spark, sf)
-    corpus = AK.with_layout_id(schema_corpus(spark, sf))
-    return AK.seen_before(heads, corpus, _schema_top(spark, sf))
+    top, corpus = _schema_top(spark, sf)
+    return AK.seen_before(heads, corpus, top)
 
 
 @register("date_transformations", _entries_sql("date"))
@@ -844,19 +878,18 @@ def reload_sales(spark: SparkSession, sf: str) -> DataFrame:
 _STATUS_SCHEMA = "upload_id string, ts timestamp_ntz, event_id bigint, status string"
 
 
-@register("stream_running_status")
+@register("stream_running_status", f"""
+  SELECT upload_id, status, status_at FROM ({OW.upload_status_sql()}) u WHERE status_at IS NOT NULL""")
 def stream_running_status(spark: SparkSession, sf: str) -> DataFrame:
     """The status-event stream folded to the latest status per upload (equals W1)."""
-    ev = WE.events(spark, sf)
-    se = W.upload_status_events(ev.filter(F.col("event_type") == "signup"),
-                                WP.proposals(spark, sf), WP.reviews(spark, sf))
+    se = WP.Flow(spark, sf).status_events
     src, out, ck = _fresh(spark, "status-src"), _fresh(spark, "status-out"), _fresh(spark, "ck")
     SK.append(se.select("upload_id", "ts", "event_id", "status"), src)
     ST.running_status(spark, src, out, ck, T._parse_datatype_string(_STATUS_SCHEMA))
     return ST.latest_snapshot(spark, out)
 
 
-@register("stream_corpus_refresh")
+@register("stream_corpus_refresh", OW.approved_sql())
 def stream_corpus_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Approved mappings arrive as files; the corpus takes each mapping once."""
     corpus = W.approved_corpus(WP.reviews(spark, sf))
@@ -867,7 +900,7 @@ def stream_corpus_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(dst)
 
 
-@register("stream_new_uploads")
+@register("stream_new_uploads", OP.profile_sql("typed"))
 def stream_new_uploads(spark: SparkSession, sf: str) -> DataFrame:
     """CSV uploads landing in a folder are profiled as they arrive."""
     root, out, ck = _fresh(spark, "inbox"), _fresh(spark, "profiles"), _fresh(spark, "ck")
@@ -881,15 +914,15 @@ def stream_new_uploads(spark: SparkSession, sf: str) -> DataFrame:
 from ..operators import statemachine as SM  # noqa: E402
 
 
-@register("strict_upload_states")
+@register("strict_upload_states", OW.strict_states_sql())
 def strict_upload_states(spark: SparkSession, sf: str) -> DataFrame:
     """Ordered fold of upload/map/approve/reject steps; illegal steps counted and ignored."""
     ev = WE.events(spark, sf)
     up = ev.filter(F.col("event_type") == "signup").select(
         "upload_id", "ts", "event_id", F.lit("upload").alias("step"))
-    mp = WP.proposals(spark, sf).select("upload_id", F.col("proposed_at").alias("ts"),
-                                        "event_id", F.lit("map").alias("step"))
-    rv = WP.reviews(spark, sf).select(
+    f = WP.Flow(spark, sf)
+    mp = f.proposals.select("upload_id", F.col("proposed_at").alias("ts"), "event_id", F.lit("map").alias("step"))
+    rv = f.reviews.select(
         "upload_id", F.col("reviewed_at").alias("ts"), "event_id",
         F.when(F.col("decision") == "APPROVED", "approve").otherwise("reject").alias("step"))
     return SM.strict_states(up.unionByName(mp).unionByName(rv))

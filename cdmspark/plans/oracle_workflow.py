@@ -209,3 +209,25 @@ def entries_sql(src: str, json_col: str, keys: list[str]) -> str:
           FROM ({src}) s0) s1
   ) s2
 """
+
+
+def strict_states_sql() -> str:
+    """W4 as an ordered fold of each upload's steps; the accumulator is state + 4 * illegal steps
+    (states 0 none, 1 waiting for a mapping, 2 in review, 3 approved)."""
+    return f"""
+  WITH st AS (
+    SELECT upload_id, ts, event_id, 0 AS step FROM ({EV}) e WHERE event_type = 'signup'
+    UNION ALL SELECT upload_id, proposed_at, event_id, 1 FROM ({proposals_sql()}) p
+    UNION ALL SELECT upload_id, reviewed_at, event_id, CASE WHEN decision = 'APPROVED' THEN 2 ELSE 3 END
+    FROM ({reviews_sql()}) r
+  ), l AS (SELECT upload_id, list(step ORDER BY ts, event_id) AS steps, count(*) AS n_steps FROM st GROUP BY upload_id),
+  f AS (SELECT upload_id, n_steps, list_reduce(list_prepend(0, steps), lambda a, s:
+          CASE WHEN s = 0 AND a % 4 <> 2 THEN a - a % 4 + 1
+               WHEN s = 1 AND a % 4 = 1 THEN a + 1
+               WHEN s = 2 AND a % 4 = 2 THEN a + 1
+               WHEN s = 3 AND a % 4 = 2 THEN a - 1
+               ELSE a + 4 END) AS acc FROM l)
+  SELECT upload_id, ['NONE', 'PENDING_MAPPING', 'PENDING_REVIEW', 'APPROVED'][acc % 4 + 1] AS state,
+         CAST(acc // 4 AS BIGINT) AS illegal_steps, CAST(n_steps AS BIGINT) AS n_steps
+  FROM f
+"""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.materialize import materialize
 from ..operators import asof
+from ..operators import checks as CK
 from ..operators import mapping_doc as MD
 from ..operators import workflow as W
 from ..sources import workflow_events as WE
@@ -47,37 +51,77 @@ def decisions(spark: SparkSession, sf: str) -> DataFrame:
             .drop("prev_click"))
 
 
-def validated(spark: SparkSession, sf: str) -> DataFrame:
-    """W3 over all decisions."""
-    return W.validate_decisions(decisions(spark, sf), proposals(spark, sf),
-                                WE.uploads(spark, sf))
+REVIEW_COLUMNS = ["review_id", "event_id", "mapping_id", "upload_id", "reviewer", "decision",
+                  "reviewed_at", "reviewer_notes", "final_mapping_json"]
 
 
-def reviews(spark: SparkSession, sf: str) -> DataFrame:
-    """mapping_reviews: the decisions that passed W3."""
-    return validated(spark, sf).filter(F.col("reject_reason").isNull())
+class Flow:
+    """The workflow tables of one query. What several branches read (uploads, parsed proposals,
+    decisions, reviews) is stored once as Parquet, so each branch is one pruned scan."""
 
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
 
-def uploads_with_status(spark: SparkSession, sf: str) -> DataFrame:
-    """W1 + W6 over the uploads table."""
-    ev = WE.events(spark, sf)
-    signups = ev.filter(F.col("event_type") == "signup")
-    se = W.upload_status_events(signups, proposals(spark, sf), reviews(spark, sf))
-    return W.upload_status(WE.uploads(spark, sf), se)
+    @cached_property
+    def uploads(self) -> DataFrame:
+        """V5 on write: the declared default fills an absent source system."""
+        return materialize(CK.with_defaults(WE.uploads(self.spark, self.sf), {
+            "source_system": CK.UPLOAD_DEFAULTS["source_system"]}))
 
+    @cached_property
+    def proposals(self) -> DataFrame:
+        return materialize(proposals(self.spark, self.sf))
 
-def mappings_with_status(spark: SparkSession, sf: str) -> DataFrame:
-    """W2 over all proposals."""
-    return W.mapping_status(proposals(spark, sf), reviews(spark, sf))
+    @cached_property
+    def decisions(self) -> DataFrame:
+        return materialize(decisions(self.spark, self.sf))
 
+    @cached_property
+    def validated(self) -> DataFrame:
+        """W3 over all decisions."""
+        return W.validate_decisions(self.decisions, self.proposals, self.uploads)
 
-REVIEW_COLUMNS = ["review_id", "event_id", "mapping_id", "upload_id", "reviewer", "decision",
-                  "reviewed_at", "reviewer_notes", "final_mapping_json"]
+    @cached_property
+    def reviews(self) -> DataFrame:
+        """mapping_reviews: the decisions that passed W3."""
+        return materialize(self.validated.filter(F.col("reject_reason").isNull()))
+
+    @property
+    def review_table(self) -> DataFrame:
+        """mapping_reviews in its stored columns."""
+        return self.reviews.select(*REVIEW_COLUMNS)
+
+    @property
+    def status_events(self) -> DataFrame:
+        ev = WE.events(self.spark, self.sf)
+        return W.upload_status_events(ev.filter(F.col("event_type") == "signup"), self.proposals, self.reviews)
 
+    @property
+    def uploads_with_status(self) -> DataFrame:
+        """W1 + W6 over the uploads table."""
+        return W.upload_status(self.uploads, self.status_events)
 
-def review_table(spark: SparkSession, sf: str) -> DataFrame:
-    """mapping_reviews in its stored columns."""
-    return reviews(spark, sf).select(*REVIEW_COLUMNS)
+    @property
+    def mappings_with_status(self) -> DataFrame:
+        """W2 over all proposals."""
+        return W.mapping_status(self.proposals, self.reviews)
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        """Approved mappings, stored."""
+        return materialize(W.approved_corpus(self.reviews))
+
+
+def reviews(spark: SparkSession, sf: str) -> DataFrame:
+    return Flow(spark, sf).reviews
+
+
+def uploads_with_status(spark: SparkSession, sf: str) -> DataFrame:
+    return Flow(spark, sf).uploads_with_status
+
+
+def mappings_with_status(spark: SparkSession, sf: str) -> DataFrame:
+    return Flow(spark, sf).mappings_with_status
 
 
 def unmapped_source_columns(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact top-k (sparse with bound pruning, dense with pivot buckets) against brute force."""
+"""Exact top-k (sparse with bound pruning, dense by blocks) against brute force."""
 
 import math
 import random
@@ -39,7 +39,7 @@ def test_dense_topk_equals_brute_force(spark):
     rnd = random.Random(5)
     vecs = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(200)]
     v = values_frame(spark, vecs, "id long, vec array<float>")
-    got = _rows(RT.topk_dense(v, v, k=3, n_pivots=8, exclude_self=True))
+    got = _rows(RT.topk_dense(v, v, k=3, exclude_self=True))
     unit = {i: [x / math.sqrt(sum(y * y for y in vec)) for x in vec] for i, vec in vecs}
     # brute force in Python over float32 inputs
     import numpy as np
@@ -60,3 +60,57 @@ def test_neighbour_ids(spark):
     r = RT.neighbour_ids(top).collect()[0]
     assert r["similar_ids"] == ["m1", "m2"] and r["similar_mapping_ids"] == '["m1","m2"]'
     assert r["similar_mappings_used"] == 2
+
+
+def test_blocks_and_probes(spark, monkeypatch):
+    """More blocks change nothing; scores of the approximate result are exact, its recall is stated."""
+    rnd = random.Random(9)
+    centre = [[rnd.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    vecs = [(i, [x + rnd.gauss(0, 0.2) for x in centre[i % 12 if i % 3 else 0]]) for i in range(600)]
+    v = spark.createDataFrame(vecs, "id long, vec array<float>")
+    exact = RT.topk_dense(v, v, k=3, exclude_self=True)
+    want = _rows(exact)
+    score = {(r["query_id"], r["doc_id"]): r["score"] for r in RT.topk_dense(v, v, k=600).collect()}
+    monkeypatch.setattr(RT, "BLOCK", 50)
+    assert _rows(RT.topk_dense(v, v, k=3, exclude_self=True)) == want
+    approx = RT.approx_dense(v, v, k=3, exclude_self=True)
+    got = approx.collect()
+    assert all(abs(r["score"] - score[r["query_id"], r["doc_id"]]) < 1e-9 for r in got)
+    assert RT.recall(exact, approx).collect()[0]["recall"] > 0.9
+    assert RT.candidate_share(v, v).collect()[0]["candidate_share"] < 0.4
+    empty = v.limit(0)
+    assert RT.topk_dense(empty, v).count() == 0 == RT.approx_dense(empty, v).count()
+
+
+def test_copies_count_and_expand(spark):
+    docs = [(f"m{i:02d}", "sku date" if i % 2 else "sku price region") for i in range(20)] + [("m99", "channel")]
+    qs = [(1, "sku date"), (2, "channel region"), (3, "nothing alike")]
+    d = spark.createDataFrame(docs, "id string, text string")
+    q = spark.createDataFrame(qs, "id long, text string")
+    want = _rows(RT.topk_sparse(*RT.tfidf(RT.prose_terms(d, "id", "text"), RT.prose_terms(q, "id", "text")), k=3))
+    texts = d.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    w = RT.tfidf(RT.prose_terms(texts.select(F.col("text").alias("id"), "text"), "id", "text"),
+                 RT.prose_terms(q, "id", "text"), texts.select(F.col("text").alias("id"), "n"))
+    top = RT.expand_copies(RT.topk_sparse(*w, k=3), d.select(F.col("text").alias("doc_id"), "id"), 3)
+    assert _rows(top) == want
+    every = RT.with_all_queries(top, q.select(F.col("id").alias("query_id"))).collect()
+    assert [r["doc_id"] for r in every if r["query_id"] == 3] == [None]
+    assert RT.neighbour_ids(RT.with_all_queries(top, q.select(F.col("id").alias("query_id")))).filter(
+        "query_id = 3").collect()[0]["similar_ids"] == []
+
+
+def test_every_candidate_pair_finds_its_field(spark):
+    """M6 on a chain where each round settles one pair."""
+    from cdmspark.operators import propose as PR
+    n = 9
+    rows = [("u", f"c{i}", i, f"f{j}", f"{j:03d}", 0.9 - 0.01 * i - 0.005 * (j != i)) for i in range(n) for j in range(i + 1)
+            if j in (i, i - 1)]
+    rows += [("u", f"c{i}", i, f"f{i - 1}", f"{i - 1:03d}", 0.95 - 0.01 * i) for i in range(1, n)]
+    s = spark.createDataFrame(rows, "upload_id string, column_name string, ordinal int, cdm_field string, field_id string, score double")
+    got = {(r["column_name"], r["cdm_field"]) for r in PR.assign_mutual_best(s).collect()}
+    used_c, used_f, want = set(), set(), set()
+    for _, c, o, f, fid, sc in sorted(rows, key=lambda r: (-r[5], r[2], r[4])):
+        if c not in used_c and f not in used_f:
+            want.add((c, f)); used_c.add(c); used_f.add(f)  # noqa: E702
+    assert got == want
+    assert PR.assign_mutual_best(s.limit(0)).count() == 0
