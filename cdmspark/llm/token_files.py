@@ -13,7 +13,7 @@ twice leaves at most an unlisted file. A task that cannot read a listed file fai
 
 Tokens: white space (space, \\t, \\n, \\v, \\f, \\r) always separates words for this vocabulary,
 so every distinct word goes through the tokenizers library once per worker and its ids are kept
-in a bounded table.
+in a table of ``WORDS_KEPT`` entries, emptied when full.
 
 Defined results: a null or empty text has only the end id; null doc_ids come first; equal
 doc_ids are ordered by text; an empty table gives an empty result.
@@ -22,9 +22,11 @@ doc_ids are ordered by text; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,27 +45,60 @@ _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Ids of a text by the tokenizers library, each distinct word encoded once."""
+    """Ids of a text by the tokenizers library, each distinct word encoded once.
+
+    The vocabulary lower-cases, and a letter followed by punctuation always ends a token, so a word's
+    closing punctuation and its lower-cased rest are encoded (and kept) apart. A word that may hold
+    a special token's text is left whole. Words of plain Latin letters are already as the normaliser
+    and the pre-tokenizer would leave them and go straight to the library's BPE model, in its
+    byte alphabet; all others take the whole way."""
+
+    TAIL = re.compile(rb"(.*[A-Za-z])([!-/:-@\[-`{-~]+)", re.DOTALL)
+    PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.latin = {c: alphabet.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.parts: dict[bytes, bytes] = {}
+        encoder = self
+
+        class Words(dict):
+            def __missing__(self, word: bytes) -> bytes:
+                ids = self[word] = encoder.word(word)
+                return ids
+
+        self.words = Words()
+
+    def part(self, part: bytes) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            text = part.decode("utf-8")
+            if self.PLAIN.fullmatch(text):
+                if not text.isascii():
+                    text = text.translate(self.latin)
+                found = [t.id for t in self.model.tokenize(text)]
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self.parts[part] = array("I", found).tobytes()
+        return ids
+
+    def word(self, word: bytes) -> bytes:
+        if b"<|" in word:
+            return self.part(word)
+        m = self.TAIL.fullmatch(word)
+        return self.part(m[1].lower()) + self.part(m[2]) if m else self.part(word.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        if len(self.ids) > WORDS_KEPT:
-            self.ids.clear()
-        new = list({w for words in split for w in words if w not in self.ids})
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            enc = self.tokenizer.encode_batch([w.decode("utf-8") for w in part],
-                                              add_special_tokens=False)
-            for w, e in zip(part, enc):
-                self.ids[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
+        for known in (self.words, self.parts):
+            if len(known) > WORDS_KEPT:
+                known.clear()
+        known = self.words.__getitem__
+        return [b"".join(map(known, t.encode("utf-8", "replace").split())) for t in texts]
 
 
 def encoder(path: str) -> WordEncoder:

@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cdmspark.llm.common import new_folder
-from cdmspark.llm.token_files import (FrameWriter, op8_token_files, open_folder, read_documents,
+from cdmspark.llm.token_files import (FrameWriter, WordEncoder, op8_token_files, open_folder, read_documents,
                                       read_frame, read_token_files, seek_table, write_token_files)
 from tests.conftest import SF_SMALL
 
@@ -48,6 +48,16 @@ def test_empty_table(spark):
     assert read_token_files(m, folder).count() == 0
 
 
+@pytest.mark.parametrize("text", [
+    "Foo. foo, FOO!! foo's. don't' 'tis x'S. 'LL. É. e\u0301. E\u0301! <|ENDOFTEXT|>. <|endoftext|>. a<|endoftext|>B.",
+    "İstanbul. ΣΑΣ. ΣΑΣ ß. Straße!? \u212a. 12.5% a1. a_b_ __a__ -- #x# \u00a0a. x\u2003y. (Foo). [Bar]; ab\x1cCD.",
+])
+def test_words_apart_give_the_ids_of_the_text(text):
+    tok = Tokenizer.from_file(PATH)
+    want = np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert WordEncoder(PATH).encode([text, text]) == [want, want]
+
+
 def test_format_and_damage(tmp_path):
     import zstandard
     system, path = open_folder(str(tmp_path))
