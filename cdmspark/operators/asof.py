@@ -1,9 +1,10 @@
 """Skew-safe "last value before" (as-of) per key, without one task per key.
 
 A window ``partitionBy(key).orderBy(t)`` puts all rows of a key in one task, and one key may hold a
-third of all rows. Instead each key's sequence is cut into pieces by its first order column: the
-piece is an equal-width bucket of that column between its global minimum and maximum (exact
-aggregates, so every branch of the plan and every retried task computes the same piece for a row).
+third of all rows. Instead the whole sequence is cut into pieces of about equally many rows, by
+quantiles of the first order column and, where one value of it fills several quantiles, by quantiles
+of the second. The edges are fixed numbers once read, so every branch of the plan and every retried
+task computes the same piece for a row.
 The scan then runs in two levels:
 
 1. inside each (key, piece): ``last(value, ignorenulls)`` over the earlier rows;
@@ -11,8 +12,7 @@ The scan then runs in two levels:
    and a window over key ordered by piece gives the carry-in from earlier pieces (rows per key are
    bounded by the number of pieces, not by the data).
 
-The answer per row is the local value, else the carry-in. All built-in expressions. A key whose
-rows all fall into one bucket still lands in one task per bucket; raise ``pieces`` for bursty keys.
+The answer per row is the local value, else the carry-in. All built-in expressions.
 """
 
 from __future__ import annotations
@@ -21,30 +21,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ranges import ordered_pieces
 
-def _numeric(df: DataFrame, name: str) -> Column:
+
+def order_number(df: DataFrame, name: str) -> Column:
+    """An order column as a bigint that sorts the same way."""
     dt = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+        return F.unix_micros(c.cast("timestamp"))
     if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    return c.cast("double")
+        return F.unix_date(c).cast("bigint")
+    return c.cast("bigint")
 
 
 def last_before(df: DataFrame, key: str, order: list[str], value: str, out: str,
                 pieces: int | None = None, inclusive: bool = False) -> DataFrame:
     """Add ``out``: the last non-null ``value`` of the same ``key`` strictly before each row in
     ``order`` (or up to and including the row when ``inclusive``)."""
-    spark = df.sparkSession
-    p = pieces or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    t = _numeric(df, order[0])
-    stats = df.agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"))  # one row
-    r = (df.crossJoin(F.broadcast(stats))
-         .withColumn("_piece", F.least(
-             F.floor((t - F.col("_t0")) * F.lit(p) / (F.col("_t1") - F.col("_t0") + F.lit(1.0))),
-             F.lit(p - 1)).cast("int"))
-         .drop("_t0", "_t1"))
+    r = ordered_pieces(df, order_number(df, order[0]), order_number(df, order[-1]), "_piece", pieces)
     upto = 0 if inclusive else -1
     w_local = (Window.partitionBy(key, "_piece").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, upto))
@@ -52,7 +47,7 @@ def last_before(df: DataFrame, key: str, order: list[str], value: str, out: str,
     last_in_piece = (r.filter(F.col(value).isNotNull())
                      .groupBy(key, "_piece")
                      .agg(F.max_by(F.col(value), F.struct(*order)).alias("_piece_last")))
-    # one row per non-empty (key, piece), at most ``p`` per key: carry-in = last value of an
+    # one row per non-empty (key, piece), at most as many as pieces per key: carry-in = last value of an
     # earlier piece
     w_carry = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     carry = (r.select(key, "_piece").distinct()

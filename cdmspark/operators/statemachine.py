@@ -6,9 +6,9 @@ PENDING_REVIEW), approve (PENDING_REVIEW -> APPROVED), reject (PENDING_REVIEW ->
 PENDING_MAPPING). An illegal step leaves the state unchanged and is counted.
 
 Each step is a function on the 4 states (next state, illegal flag per start state); functions
-compose associatively. Each (upload, time piece) folds its own steps in order — at most one
-piece of events — and each upload then composes its piece summaries in piece order, at most
-``pieces`` of them. No group is unbounded.
+compose associatively. Each (upload, piece) folds its own steps in order, and each upload then
+composes its piece summaries in piece order. Pieces hold about equally many rows of the whole log
+(their number follows the row count), also when one upload holds a third of all steps at one instant.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .asof import _numeric
+from ..functions.ranges import ordered_pieces
+from .asof import order_number
 
 STATES = ["NONE", "PENDING_MAPPING", "PENDING_REVIEW", "APPROVED"]
 STEPS = ["upload", "map", "approve", "reject"]
@@ -49,16 +50,10 @@ def _compose(acc: Column, g: Column) -> Column:
         .alias("bad"))
 
 
-def strict_states(steps: DataFrame, key: str = "upload_id", pieces: int = 64) -> DataFrame:
+def strict_states(steps: DataFrame, key: str = "upload_id", pieces: int | None = None) -> DataFrame:
     """(key, state, illegal_steps, n_steps) from (key, ts, event_id, step) rows."""
-    t = _numeric(steps, "ts")
-    stats = steps.agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"))
-    s = (steps.crossJoin(F.broadcast(stats))
-         .withColumn("_piece", F.least(F.floor((t - F.col("_t0")) * F.lit(pieces)
-                                               / (F.col("_t1") - F.col("_t0") + F.lit(1.0))),
-                                       F.lit(pieces - 1)).cast("int"))
-         .withColumn("_code", F.array_position(F.array(*[F.lit(x) for x in STEPS]),
-                                               F.col("step")).cast("int") - 1))
+    s = ordered_pieces(steps, order_number(steps, "ts"), order_number(steps, "event_id"), "_piece", pieces)
+    s = s.withColumn("_code", F.array_position(F.array(*[F.lit(x) for x in STEPS]), F.col("step")).cast("int") - 1)
     per_piece = (s.groupBy(key, "_piece")
                  .agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "_code")))
                       .alias("evs"), F.count(F.lit(1)).alias("n"))

@@ -27,6 +27,32 @@ def test_last_before_matches_window_with_a_hot_key(spark):
     assert row["prev"] == 13
 
 
+def test_a_third_of_all_rows_at_one_instant(spark):
+    """One key with a third of the rows at one timestamp: no piece holds many of them, and both the
+    as-of lookup and the state machine stay right."""
+    from cdmspark.functions.ranges import ordered_pieces
+    from cdmspark.operators import statemachine as SM
+    base = dt.datetime(2024, 1, 1)
+    steps = SM.STEPS
+    rows = [("hot", base + dt.timedelta(minutes=500), i * 3, i if i % 11 == 0 else None, steps[i % 4]) for i in range(1000)]
+    rows += [(f"k{i % 9}", base + dt.timedelta(minutes=i), i * 3 + 1, i if i % 5 == 0 else None, steps[i % 4]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, id long, v long, step string")
+    cut = ordered_pieces(df, asof.order_number(df, "ts"), F.col("id"), "p", 30)
+    assert cut.groupBy("p").count().agg(F.max("count")).first()[0] <= 220
+    order = [r["p"] for r in cut.orderBy("ts", "id").collect()]
+    assert order == sorted(order)
+    got = {r["id"]: r["prev"] for r in asof.last_before(df, "key", ["ts", "id"], "v", "prev", pieces=30).collect()}
+    last, state, bad = {}, {}, {}
+    for key, _, i, v, step in sorted(rows, key=lambda r: (r[1], r[2])):
+        assert got[i] == last.get(key)
+        last[key] = v if v is not None else last.get(key)
+        at, code = state.get(key, 0), steps.index(step)
+        bad[key] = bad.get(key, 0) + SM.ILLEGAL[code][at]
+        state[key] = SM.NEXT[code][at]
+    out = SM.strict_states(df.withColumnRenamed("id", "event_id"), key="key", pieces=30).collect()
+    assert {r["key"]: (r["state"], r["illegal_steps"]) for r in out} == {k: (SM.STATES[state[k]], bad[k]) for k in state}
+
+
 def test_add_fields_refuses_existing_and_numbers_numerically(spark):
     as_of = dt.datetime(2026, 1, 1)
     cdm = RG.cdm_seed(spark, as_of)
