@@ -684,7 +684,8 @@ def _loo_proposals(spark: SparkSession, sf: str) -> DataFrame:
     top, corpus = _schema_top(spark, sf, other_layouts=True)
     entries = MD.mapping_entries(corpus, "cdm_mapping", ("mapping_id",))
     votes = PR.neighbour_votes(top, entries)
-    return PR.proposals(prof, _cdm(spark), votes)
+    evidence = PR.value_evidence(prof, TD.sales_headers(spark, sf), C.mappings_of_corpus(corpus), other_layouts=True)
+    return PR.proposals(prof, _cdm(spark), votes, evidence)
 
 
 @register("proposed_mappings")
