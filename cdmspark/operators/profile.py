@@ -34,7 +34,7 @@ def long_values(rows: DataFrame) -> DataFrame:
             .select("upload_id", "row_ord", (F.col("pos") + 1).alias("ordinal"), "value"))
 
 
-def cap_rows(rows: DataFrame, cap: int = model.ROW_CAP) -> DataFrame:
+def cap_rows(rows: DataFrame, cap: int) -> DataFrame:
     """S3: the first ``cap`` rows of each upload by row order (partial group limit before shuffle)."""
     w = Window.partitionBy("upload_id").orderBy("row_ord")
     return rows.withColumn("row_no", F.row_number().over(w)).filter(F.col("row_no") <= cap)
@@ -51,6 +51,14 @@ def _flags(v: Column) -> dict[str, Column]:
     }
 
 
+def float_text(d: Column) -> Column:
+    """A double in plain digits with a decimal point, as pandas prints it below 1e16."""
+    plain = F.regexp_replace(d.try_cast("decimal(38,10)").cast("string"), r"0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    usual = (d == 0) | ((F.abs(d) >= 1e-3) & (F.abs(d) < 1e7))
+    return F.when(usual | (F.abs(d) >= 1e16) | (F.abs(d) < 1e-4), d.cast("string")).otherwise(plain)
+
+
 def _class(mode: str) -> tuple[Column, Column]:
     """(cdm_type, dtype) from the per-column aggregates."""
     nn = F.col("n_nonnull")
@@ -122,6 +130,8 @@ def column_stats(rows: DataFrame, mode: str = "typed") -> DataFrame:
         F.count_if(F.col("is_null")).alias("null_count"),
         F.count_if(nn).alias("n_nonnull"),
         F.count_distinct(F.when(nn, F.col("value"))).alias("unique_count"),
+        *([F.count_distinct(F.when(nn, F.trim("value").try_cast("double"))).alias("unique_numbers")]
+          if mode == "compat" else []),
         F.bool_and(F.col("is_null") | F.col("is_int")).alias("all_int"),
         F.bool_and(F.col("is_null") | F.col("is_num")).alias("all_num"),
         F.bool_and(F.col("is_null") | F.col("is_date")).alias("all_date"),
@@ -134,11 +144,13 @@ def column_stats(rows: DataFrame, mode: str = "typed") -> DataFrame:
         {"cdm_type": cdm, "dtype": dtype})
     raw = F.coalesce(F.col("raw_samples"), F.array().cast("array<string>"))
     if mode == "compat":
-        # pandas renders parsed numbers: '007' -> '7', '5' in a float column -> '5.0'
+        # pandas counts and renders parsed numbers: '007' is '7', '5' in a float column '5.0'
+        out = out.withColumn("unique_count", F.when(
+            F.col("dtype").isin("int64", "float64"), F.col("unique_numbers")).otherwise(F.col("unique_count")))
         sv = (F.when(F.col("dtype") == "int64",
                      F.transform(raw, lambda x: F.trim(x).try_cast("bigint").cast("string")))
               .when(F.col("dtype") == "float64",
-                    F.transform(raw, lambda x: F.trim(x).try_cast("double").cast("string")))
+                    F.transform(raw, lambda x: float_text(F.trim(x).try_cast("double"))))
               .otherwise(raw))
     else:
         sv = raw
@@ -159,9 +171,8 @@ def profile(rows: DataFrame, headers: DataFrame, mode: str = "typed",
                     F.col("unique_count").cast("bigint").alias("unique_count")))
 
 
-def upload_summary(rows: DataFrame, headers: DataFrame,
-                   row_cap: int | None = model.ROW_CAP) -> DataFrame:
-    """P6 + S3: row count as read (capped like the reference), the true count, column count."""
+def upload_summary(rows: DataFrame, headers: DataFrame, row_cap: int | None = None) -> DataFrame:
+    """P6 + S3: row count as read (at most ``row_cap`` if given), the true count, column count."""
     n = rows.groupBy("upload_id").agg(F.count(F.lit(1)).alias("true_row_count"))
     cnt = (F.least(F.col("true_row_count"), F.lit(row_cap)) if row_cap
            else F.col("true_row_count"))

@@ -60,17 +60,16 @@ def profile_columns(spark: SparkSession, sf: str) -> DataFrame:
     return P.profile(TD.landed_rows(spark, sf), TD.sales_headers(spark, sf), "typed")
 
 
-@register("profile_columns_compat", OP.profile_sql("compat", _m.ROW_CAP))
+@register("profile_columns_compat", OP.profile_sql("compat"))
 def profile_columns_compat(spark: SparkSession, sf: str) -> DataFrame:
-    """P1-P5 in pandas-compatible mode over the first 200 rows of each upload (S3)."""
-    return P.profile(TD.landed_rows(spark, sf), TD.sales_headers(spark, sf), "compat",
-                     row_cap=_m.ROW_CAP)
+    """P1-P5 in pandas-compatible mode over every row."""
+    return P.profile(TD.landed_rows(spark, sf), TD.sales_headers(spark, sf), "compat")
 
 
 @register("upload_summary", OP.upload_summary_sql())
 def upload_summary(spark: SparkSession, sf: str) -> DataFrame:
     """P6 + S3: capped and true row counts, column count per upload."""
-    return P.upload_summary(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf))
+    return P.upload_summary(TD.sales_rows(spark, sf), TD.sales_headers(spark, sf), _m.ROW_CAP)
 
 
 @register("sample_rows_json", OP.sample_rows_sql())
@@ -855,7 +854,7 @@ def csv_upload_summary(spark: SparkSession, sf: str) -> DataFrame:
     """S1 + S2 + S3 + P6: every upload written as its own CSV file (own header), read back in one
     headerless scan, then counted per upload."""
     rows, heads = _csv_round_trip(spark, sf)
-    return P.upload_summary(rows, heads)
+    return P.upload_summary(rows, heads, _m.ROW_CAP)
 
 
 @register("csv_upload_profiles", OP.profile_sql("typed"))

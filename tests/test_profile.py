@@ -46,6 +46,18 @@ def test_compat_mode_reads_like_pandas(spark):
     assert p["flag"]["dtype"] == "bool"
 
 
+def test_compat_counts_and_prints_numbers(spark):
+    from pyspark.sql import functions as F
+    heads = spark.createDataFrame([("u", ["a", "b"])], "upload_id string, names array<string>")
+    raw = spark.createDataFrame([("u", i, v) for i, v in enumerate([["007", "5"], ["7", "5.0"], ["8", "1234567891.25"]])],
+                                "upload_id string, row_ord int, vals array<string>")
+    p = {r["column_name"]: r for r in P.profile(raw, heads, "compat").collect()}
+    assert p["a"]["unique_count"] == 2 and p["a"]["sample_values"] == ["7", "7", "8"]
+    assert p["b"]["unique_count"] == 2 and p["b"]["sample_values"] == ["5.0", "5.0", "1234567891.25"]
+    df = spark.createDataFrame([(x,) for x in (0.0, 1e7, -12345678.5, 0.0002, 1.5)], "d double")
+    assert [r[0] for r in df.select(P.float_text(F.col("d"))).collect()] == ["0.0", "10000000.0", "-12345678.5", "0.0002", "1.5"]
+
+
 def test_row_cap_and_summary(spark):
     raw, heads = _upload(spark)
     s = P.upload_summary(raw, heads, row_cap=3).collect()[0]
