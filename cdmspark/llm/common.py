@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
 
-__all__ = ["new_folder", "store", "table", "whole_text"]
+__all__ = ["new_folder", "small_batches", "store", "table", "whole_text"]
+
+BATCH_ROWS = 1000
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -30,3 +32,11 @@ def store(df: DataFrame, tag: str) -> DataFrame:
 def whole_text(column: str = "text"):
     """The text column, a null counting as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python workers at most ``BATCH_ROWS`` rows at a time: texts are thousands of characters
+    long, and a batch is held by the JVM and by the worker. Lowers the session's setting only."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .html_blocks import blocks, features
 from .html_labels import labelled_table
 
@@ -73,6 +73,7 @@ def extract(page: Column, tree: tuple) -> Column:
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     texts = pages.select("page_id", "url", extract(F.col("html"), train()).alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("bigint"))

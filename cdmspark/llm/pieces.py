@@ -30,11 +30,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import small_batches, table, whole_text
 
 MARK, OWN_MARK = 0x2581, 0x110000
-WORDS_KEPT = 1_000_000
-CELLS = 1 << 20
+WORDS_KEPT, CHARS, CELLS = 200_000, 1 << 21, 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _MODELS: dict[str, "PieceModel"] = {}
@@ -126,7 +125,19 @@ class PieceModel:
         return np.array(out, "<i4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian int32 ids of each text."""
+        """Little-endian int32 ids of each text; about ``CHARS`` characters are split at a time."""
+        out: list[bytes] = []
+        group: list[str] = []
+        room = CHARS
+        for t in texts:
+            group.append(t)
+            room -= len(t)
+            if room <= 0:
+                out += self._encode(group)
+                group, room = [], CHARS
+        return out + self._encode(group)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [self.cut.findall(" " + t) if t else [] for t in texts]
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
@@ -195,5 +206,6 @@ def public_model() -> str:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return docs.select("doc_id", encoded(whole_text(), public_model(), with_ids=False).alias("r")).select("doc_id", "r.*")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole_text
+from .common import small_batches, table, whole_text
 
 TRAIN_ROWS, POOL_ROWS, ROUNDS, SURE, SHARE, BUCKETS = 20_000, 10_000, 3, 0.95, 0.1, 32
 _UPPER = bytes(range(65, 91))
@@ -211,6 +211,7 @@ def scores(model: CoTrained) -> Column:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
     model = fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scores(model).alias("s"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table, whole_text
+from .common import small_batches, store, table, whole_text
 from .components import components
 
 SHINGLE, MAX_BITS, BLOCKS = 3, 3, 4
@@ -189,5 +189,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     near = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

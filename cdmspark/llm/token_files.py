@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, store, table, whole_text
+from .common import new_folder, small_batches, store, table, whole_text
 
 FRAME_IDS = 1 << 16
 WORDS_KEPT = 1_000_000
@@ -309,6 +309,7 @@ def read_documents(manifest: DataFrame, folder: str, doc_ids: DataFrame) -> Data
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     import public_tokenizers
     folder = new_folder(spark, "tokens")
     manifest = write_token_files(table(spark, sf_dir, "documents", "doc_id", "text"), folder,

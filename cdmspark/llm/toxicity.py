@@ -8,7 +8,7 @@
    ``TERMS`` terms, the strongest ones.
 2. Matching. The terms form a trie. The automaton of a word's Levenshtein neighbourhood walks it:
    one edit from ``EDIT_LEN`` letters on, two from ``EDIT2_LEN`` on. Every distinct word is matched
-   once per worker; a word without any piece of a term where that piece can stand is skipped, which
+   once per worker (a table of ``WORDS_KEPT`` words, emptied when full); a word without any piece of a term where that piece can stand is skipped, which
    loses nothing (with e edits, one of e + 1 pieces is intact). Misspellings that occur in training
    documents without toxic label are words of their own and do not count.
 3. Context. A hit counts for its closeness to the term times a weight of the window around it:
@@ -34,9 +34,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table, whole_text
+from .common import small_batches, store, table, whole_text
 
 TRAIN_ROWS, TERMS, STEM, ODDS = 20_000, 5_000, 10, 20.0
+PAIRS, WORDS_KEPT = 200_000, 200_000
 EDIT_LEN, EDIT2_LEN = 5, 9
 WINDOW = 8
 WORD = re.compile(r"[^\W_]+(?:[@$!*'’][^\W_]+)*")
@@ -119,7 +120,7 @@ class Lexicon:
     def match(self, word: str) -> float:
         got = self.seen.get(word)
         if got is None:
-            if len(self.seen) > 1_000_000:
+            if len(self.seen) > WORDS_KEPT:
                 self.seen.clear()
             got = self._walk(word[:64]) if self.hint is not None and self.hint.search(word) else 0.0
             if 0 < got < 1 and word in self.clean:
@@ -175,17 +176,23 @@ class Model:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (word, hash of the word before it, toxic) of each batch."""
+    """(word, the word before it, toxic), each once for about ``PAIRS`` words of text."""
+    schema = pa.schema([("word", pa.string()), ("before", pa.string()), ("toxic", pa.int32())])
+
+    def batch(pairs: set) -> pa.RecordBatch:
+        rows = list(pairs)
+        return pa.RecordBatch.from_pydict({
+            "word": [w for w, _, _ in rows], "before": [p for _, p, _ in rows], "toxic": [t for _, _, t in rows]}, schema=schema)
+
+    pairs: set = set()
     for b in batches:
-        pairs: set = set()
-        for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            words = WORD.findall(text.lower())
+        for text, toxic in zip(b.column(0), b.column(1)):
+            words, toxic = WORD.findall(text.as_py().lower()), toxic.as_py()
             pairs.update(zip(words, ["", *words], [toxic] * len(words)))
-        rows = list(pairs)
-        yield pa.RecordBatch.from_pydict({
-            "word": [w for w, _, _ in rows], "before": [p for _, p, _ in rows],
-            "toxic": pa.array([t for _, _, t in rows], pa.int32())},
-            schema=pa.schema([("word", pa.string()), ("before", pa.string()), ("toxic", pa.int32())]))
+            if len(pairs) > PAIRS:
+                yield batch(pairs)
+                pairs = set()
+    yield batch(pairs)
 
 
 def learn_lexicon(train: DataFrame) -> list[tuple[str, bool]]:
@@ -306,6 +313,7 @@ def score(text: Column, model: Model) -> Column:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = fit(training_rows(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"),

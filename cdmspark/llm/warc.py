@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, store, table
+from .common import new_folder, small_batches, store, table
 from .token_files import open_folder, read_range
 
 MIN_REVISIT, SLOT, GAP, FILE_BYTES = 1000, 4 << 20, 64 << 10, 1 << 30
@@ -160,6 +160,7 @@ def read_records(selected: DataFrame, folder: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     folder = new_folder(spark, "warc")
     index = write_archives(decide(table(spark, sf_dir, "pages", "page_id", "url", "html")), folder)
     read = store(read_records(index, folder), "warc-read")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cdmspark.llm import exact_dedup, mixing, pieces, simhash, toxicity
-from cdmspark.llm.common import store, table, whole_text
+from cdmspark.llm.common import small_batches, store, table, whole_text
 
 #: No SQL: scores are learned, fingerprints and segmentations have no SQL form.
 ORACLE_SQL = None
@@ -18,6 +18,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
+    small_batches(spark)
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
     return docs.filter(toxicity.score(whole_text(), model) < 0.5)
 
@@ -29,6 +30,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the row of the smallest doc_id stays."""
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs, shingle=simhash.SHINGLE, max_bits=simhash.MAX_BITS)
 
 
@@ -39,6 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every copy's text, with the check that they decode to it."""
+    small_batches(spark)
     encoded = pieces.encoded(whole_text(), pieces.public_model())
     return docs.select("doc_id", "lang", "source", encoded.alias("e")).select("doc_id", "lang", "source", "e.*")
 
