@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import range_index
 from .common import table, whole_text
 
 K, BINS, TUPLE, TOKEN_CHARS = 3, 64, 2, 24
@@ -113,22 +114,6 @@ def likeness(a: Column, b: Column) -> Column:
         F.aggregate(f, F.lit(0), lambda s, x: s + x) - F.size(f)) / 2 / F.size(f)))
 
 
-def _range_of(at: Column, edges: list[int]) -> Column:
-    """How many of the sorted ``edges`` lie below ``at`` (0 for null): a search in two steps, among
-    every ``step``-th edge and then among the ``step`` edges after it."""
-    step = max(1, int(len(edges) ** 0.5))
-    groups = F.split(F.lit(";".join(",".join(map(str, edges[i:i + step]))
-                                    for i in range(0, len(edges), step))), ";")
-    heads = F.split(F.lit(",".join(map(str, edges[::step]))), ",").cast("array<bigint>")
-
-    def below(a: Column) -> Column:
-        return F.size(F.filter(a, lambda e: e < at))
-
-    inside = _let(below(heads), lambda g: F.when(g == 0, F.lit(0)).otherwise(
-        (g - 1) * step + below(F.split(F.get(groups, g - 1), ",").cast("array<bigint>"))))
-    return F.when(at.isNull(), F.lit(0)).otherwise(inside) if edges else F.lit(0)
-
-
 def in_ranges(rows: DataFrame, id_col: str, text_col: str, ranges: int) -> DataFrame:
     """``rows`` with ``__range`` (``ranges`` ranges of the id, even by quantiles) and ``__tie``, and
     with a copy (``__copy``) of each range's first row at the end of the range before; the first
@@ -136,7 +121,7 @@ def in_ranges(rows: DataFrame, id_col: str, text_col: str, ranges: int) -> DataF
     at = F.col(id_col).cast("bigint")
     edges = rows.agg(F.percentile_approx(at, [i / ranges for i in range(1, ranges)], ranges * 20)
                      .alias("e")).first()["e"] or []
-    dealt = (rows.withColumn("__range", _range_of(at, sorted(set(edges))))
+    dealt = (rows.withColumn("__range", range_index(at, sorted(set(edges))))
              .withColumn("__tie", F.xxhash64(text_col)).withColumn("__copy", F.lit(False)))
     firsts = dealt.groupBy("__range").agg(F.min(F.struct(at.alias("id"), "__tie")).alias("f"))
     everything = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
