@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import store, table, whole_text
 
 WEIGHTS, TOTAL, COPIES, SEED = (5, 2, 1), 1.5, 2, "mix"
-MAX_PATTERNS, ROWS_A_PREFIX = 100_000, 4096
+MAX_PATTERNS, ROWS_A_PREFIX = 100_000, 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
