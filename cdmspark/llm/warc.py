@@ -31,6 +31,7 @@ from .common import new_folder, small_batches, store, table
 from .token_files import open_folder, read_range
 
 MIN_REVISIT, SLOT, GAP, FILE_BYTES = 1000, 4 << 20, 64 << 10, 1 << 30
+TASK_BYTES, MAX_TASKS = 16 << 20, 100_000
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value
 INDEX = "file string, offset bigint, length bigint, url string, digest string, page_id bigint, record_type string"
@@ -155,6 +156,9 @@ def read_records(selected: DataFrame, folder: str) -> DataFrame:
 
     slots = selected.groupBy("file", F.floor(F.col("offset") / SLOT).alias("slot")).agg(
         F.collect_list(F.struct("offset", "length")).alias("spans"))
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # a count of its own: the rows are small, what a task reads for them is not
+    slots = slots.repartition(max(1, min(size // TASK_BYTES, MAX_TASKS)), "file", "slot")
     return slots.select("file", "spans").mapInArrow(
         read, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
