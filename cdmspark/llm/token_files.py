@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import new_folder, small_batches, store, table, whole_text
 
-FRAME_IDS = 1 << 16
+FRAME_IDS, TASK_BYTES, MAX_TASKS = 1 << 16, 16 << 20, 100_000
 WORDS_KEPT = 1_000_000
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1  # zstd seekable format
 ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
@@ -273,9 +273,12 @@ def frames(manifest: DataFrame, folder: str) -> DataFrame:
     takes one row per file."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("bigint"))
-    return starts.repartition(F.col("file")).mapInArrow(
+    files, size = manifest.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    # counts of their own: the rows are small, what a task reads for them is not
+    planned = starts.repartition(max(1, min(files, MAX_TASKS)), "file").mapInArrow(
         _plan_frames(folder), "file string, offset bigint, csize bigint, dsize bigint, checksum bigint, "
         "start bigint, ids array<bigint>, counts array<bigint>")
+    return planned.repartition(max(1, min(size // TASK_BYTES, MAX_TASKS)), "file", "offset")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
