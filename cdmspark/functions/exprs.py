@@ -63,3 +63,13 @@ def file_size_label(size: Column) -> Column:
             .when(size < 1024 * 1024,
                   F.concat(F.format_number(size / F.lit(1024.0), 1), F.lit(" KB")))
             .otherwise(F.concat(F.format_number(size / F.lit(1024.0 * 1024.0), 1), F.lit(" MB"))))
+
+
+def date_label(ts: Column) -> Column:
+    """A timestamp as 'Jan 5, 2026, 03:04 PM'."""
+    return F.date_format(ts, "MMM d, yyyy, hh:mm a")
+
+
+def id_prefix(c: Column) -> Column:
+    """The first eight characters of an id, as lists show it."""
+    return truncate(c, 8)

@@ -34,20 +34,6 @@ CUSTOMERS_SCHEMA = T.StructType([
     T.StructField("created_at", T.TimestampType()),
 ])
 
-UPLOADS_SCHEMA = T.StructType([
-    T.StructField("upload_id", T.StringType(), False),
-    T.StructField("customer_id", T.StringType(), False),
-    T.StructField("file_name", T.StringType(), False),
-    T.StructField("source_system", T.StringType()),
-    T.StructField("uploaded_at", T.TimestampType()),
-    T.StructField("row_count", T.LongType()),
-    T.StructField("column_count", T.IntegerType()),
-    T.StructField("schema_json", T.StringType()),
-    T.StructField("sample_data_json", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("error_message", T.StringType()),
-])
-
 PROFILE_SCHEMA = T.StructType([
     T.StructField("upload_id", T.StringType(), False),
     T.StructField("column_name", T.StringType(), False),
@@ -67,12 +53,6 @@ MAPPING_ENTRY = T.StructType([
     T.StructField("confidence", T.DoubleType()),
     T.StructField("reasoning", T.StringType()),
 ])
-MAPPING_DOC = T.StructType([
-    T.StructField("mappings", T.ArrayType(MAPPING_ENTRY)),
-    T.StructField("overall_confidence", T.DoubleType()),
-    T.StructField("unmapped_cdm_fields", T.ArrayType(T.StringType())),
-    T.StructField("notes", T.StringType()),
-])
 MAPPING_DOC_DDL = (
     "mappings array<struct<source_column:string,cdm_field:string,transformation:string,"
     "confidence:double,reasoning:string>>, overall_confidence double, "
@@ -92,16 +72,6 @@ SALES_COLUMNS = [
     "store_id", "rep_id", "source_system", "ingested_at",
 ]
 
-# Spark SQL type of each logical CDM type.
-LOGICAL_TO_SPARK = {
-    "DATE": "date",
-    "STRING": "string",
-    "INTEGER": "bigint",
-    "DECIMAL": "decimal(18,2)",
-    "BOOLEAN": "boolean",
-    "TIMESTAMP": "timestamp",
-}
-
 # CDM field name -> column of the conformed sales table (two are renamed, the rest keep names).
 CDM_TARGET_COLUMN = {"date": "sale_date", "customer_id": "customer_id_val"}
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +75,3 @@ def chat_context(uploads: DataFrame, cdm: DataFrame) -> DataFrame:
 
 def with_layout_id(df: DataFrame, names: str = "names") -> DataFrame:
     return df.withColumn("layout_id", F.sha2(F.array_join(names, " "), 256))
-
-
-def as_of(ts: _dt.datetime):
-    return F.lit(ts).cast("timestamp")

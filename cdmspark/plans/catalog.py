@@ -103,6 +103,7 @@ def table_counts(spark: SparkSession, sf: str) -> DataFrame:
 # --- workflow (W1-W8), mapping documents (M7, M8, M12-M14, A3), joins (J1-J5), F, O ----------
 
 from ..operators import mapping_doc as MD  # noqa: E402
+from ..functions import exprs as AKX  # noqa: E402
 from ..operators import workflow as W  # noqa: E402
 from ..sources import workflow_events as WE  # noqa: E402
 from . import oracle_workflow as OW  # noqa: E402
@@ -308,6 +309,19 @@ def uploads_newest_first(spark: SparkSession, sf: str) -> DataFrame:
         "upload_id", "customer_id", "file_name", "uploaded_at", "status", "status_label")
 
 
+@register("upload_history", f"""
+  SELECT upload_id, left(upload_id, 8) AS short_id, file_name, status_label,
+         strftime(uploaded_at, '%b %-d, %Y, %I:%M %p') AS uploaded_label,
+         sha256(concat_ws('|', upload_id, customer_id)) AS history_id
+  FROM ({OW.upload_status_sql()}) u""")
+def upload_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The upload history as lists show it: id prefix, date label, status label, repeatable id."""
+    return WP.uploads_with_status(spark, sf).select(
+        "upload_id", AKX.id_prefix(F.col("upload_id")).alias("short_id"), "file_name", "status_label",
+        AKX.date_label(F.col("uploaded_at")).alias("uploaded_label"),
+        AKX.stable_id(F.col("upload_id"), F.col("customer_id")).alias("history_id"))
+
+
 @register("latest_uploads_per_customer", f"""
   SELECT customer_id, upload_id, uploaded_at, CAST(rank AS INTEGER) AS rank FROM (
     SELECT customer_id, upload_id, uploaded_at,
@@ -514,7 +528,6 @@ def data_checks(spark: SparkSession, sf: str) -> DataFrame:
 # --- retrieval (M1-M4, M15) -----------------------------------------------------------------
 
 from ..operators import retrieve as RT  # noqa: E402
-from ..functions import exprs as AKX  # noqa: E402
 from . import oracle_retrieve as ORT  # noqa: E402
 
 

@@ -69,3 +69,13 @@ def test_unmapped_fields(spark):
     m = values_frame(spark, [("m1", json.dumps(DOC))], "mapping_id string, mapping_json string")
     r = MD.unmapped_fields(m, cdm).collect()[0]
     assert r["n_unmapped"] == 16 and "revenue" not in r["unmapped_cdm_fields"]
+
+
+def test_labels_of_lists(spark):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from cdmspark.functions import exprs as X
+    df = spark.createDataFrame([(dt.datetime(2026, 1, 5, 15, 4), "0123456789", n) for n in (5, 2048, 3 * 1024 * 1024)],
+                               "t timestamp_ntz, i string, n long")
+    rows = df.orderBy("n").select(X.date_label(F.col("t")), X.id_prefix(F.col("i")), X.file_size_label(F.col("n"))).collect()
+    assert [tuple(r) for r in rows] == [("Jan 5, 2026, 03:04 PM", "01234567", x) for x in ("5 B", "2.0 KB", "3.0 MB")]
