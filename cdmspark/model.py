@@ -101,11 +101,11 @@ CDM_FIELDS = [
 ]
 CDM_SEED_ADDED_BY = "system"
 
-# Tenants: (customer_id, customer_name, industry, contact_email)
+# Tenants: (customer_id, customer_name, industry, contact_email); only the ids are fixed.
 CUSTOMERS = [
-    ("CUST_001", "Carrefour SA", "Retail", "data@carrefour.com"),
-    ("CUST_002", "Unilever Global", "FMCG", "analytics@unilever.com"),
-    ("CUST_003", "Reckitt Benckiser", "Consumer Goods", "insights@reckitt.com"),
+    ("CUST_001", "Tenant 1", "", ""),
+    ("CUST_002", "Tenant 2", "", ""),
+    ("CUST_003", "Tenant 3", "", ""),
 ]
 
 UPLOAD_STATUSES = ["PENDING_MAPPING", "PENDING_REVIEW", "APPROVED", "REJECTED", "INGESTED"]
