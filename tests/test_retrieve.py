@@ -82,6 +82,13 @@ def test_blocks_and_probes(spark, monkeypatch):
     assert RT.topk_dense(empty, v).count() == 0 == RT.approx_dense(empty, v).count()
 
 
+def test_recall_on_the_given_embeddings(spark):
+    from cdmspark.plans.catalog import lsh_recall
+    from tests.conftest import SF_MID
+    got = lsh_recall(spark, SF_MID).collect()[0]
+    assert got["n_exact"] == 1500 and got["recall"] >= 0.9
+
+
 def test_copies_count_and_expand(spark):
     docs = [(f"m{i:02d}", "sku date" if i % 2 else "sku price region") for i in range(20)] + [("m99", "channel")]
     qs = [(1, "sku date"), (2, "channel region"), (3, "nothing alike")]
