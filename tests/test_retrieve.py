@@ -89,6 +89,24 @@ def test_recall_on_the_given_embeddings(spark):
     assert got["n_exact"] == 1500 and got["recall"] >= 0.9
 
 
+def test_minhash_recall_on_the_given_texts(spark):
+    from cdmspark.plans.catalog import similar_documents_minhash
+    from tests.conftest import SF_MID
+
+    def sets(name, key):
+        terms = RT.prose_terms(spark.read.parquet(f"{SF_MID}/{name}.parquet"), key, "text")
+        return {r["id"]: set(r["t"]) for r in terms.groupBy("id").agg(F.collect_set("term").alias("t")).collect()}
+
+    docs, found = sets("documents", "doc_id"), {}
+    for r in similar_documents_minhash(spark, SF_MID).collect():
+        found.setdefault(r["query_id"], set()).add(r["doc_id"])
+    hits = []
+    for q, terms in sets("benchmark", "item_id").items():
+        exact = sorted(docs, key=lambda d: (-len(terms & docs[d]) / len(terms | docs[d]), d))[:3]
+        hits += [d in found.get(q, ()) for d in exact]
+    assert len(hits) == 120 and sum(hits) >= 0.9 * len(hits)
+
+
 def test_copies_count_and_expand(spark):
     docs = [(f"m{i:02d}", "sku date" if i % 2 else "sku price region") for i in range(20)] + [("m99", "channel")]
     qs = [(1, "sku date"), (2, "channel region"), (3, "nothing alike")]
