@@ -60,3 +60,21 @@ def test_odd_rows_and_labels(spark):
         p = {r.s.score for r in docs.select(scores(fit(docs, few)).alias("s")).collect()}
         assert len(p) == 1
     assert docs.limit(0).select(scores(model)).count() == 0
+
+
+def test_all_unlabelled_rows_teach(spark):
+    """Sums over Spark rows give the model of the same rows in memory, and every unlabelled row counts."""
+    from cdmspark.llm import quality
+    rnd = np.random.default_rng(3)
+    y = rnd.integers(0, 2, 12_100).astype(float)
+    text, meta = (y[:, None] * 4 + rnd.normal(size=(len(y), 2)) for _ in range(2))
+    lab = np.arange(100)
+    pool = spark.createDataFrame([(a, b) for a, b in zip(text[100:].tolist(), meta[100:].tolist())],
+                                 "text array<double>, meta array<double>").repartition(5)
+    model = quality.co_train_over(text[lab], meta[lab], y[lab], lab % 4 == 0, quality.sums_over(pool))
+    want = co_train(text[lab], meta[lab], y[lab], lab % 4 == 0, text[100:], meta[100:])
+    assert np.allclose(model.text.w, want.text.w, atol=1e-6) and np.allclose(model.both, want.both, atol=1e-6)
+    assert quality.sums_over(pool)(lambda a, b: np.array([len(a), a.sum()]), 2)[0] == 12_000
+    # a last row that the metadata view is sure of moves the text view
+    odd = co_train(text[lab], meta[lab], y[lab], lab % 4 == 0, np.vstack([text[100:], [[40.0, -40.0]]]), np.vstack([meta[100:], [[4.0, 4.0]]]))
+    assert np.abs(odd.text.w - want.text.w).max() > 1e-6
