@@ -168,14 +168,15 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     index = write_archives(decide(table(spark, sf_dir, "pages", "page_id", "url", "html")), folder)
     read = store(read_records(index, folder), "warc-read")
-    # a revisit's payload is that of the response it names
+    # a revisit's payload is that of the response it names; as a page_id can repeat, of its own digest
+    key = ["refers_to", "payload_digest"]
     held = read.filter("record_type = 'response'").select(
-        F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("__n"), F.col("payload_digest").alias("__d"))
+        F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("__n"))
     wanted = read.filter("record_type = 'revisit'")
-    asked = wanted.groupBy("refers_to").agg(F.lit(True).alias("asked"))
-    held = store(held.join(asked, "refers_to", "left_semi").dropDuplicates(["refers_to"]), "warc-held")
-    found = wanted.join(held, "refers_to", "left").select(
-        "page_id", F.col("__n").alias("payload_bytes"), F.col("__d").alias("payload_digest"), "record_type", "refers_to")
+    asked = wanted.groupBy(key).agg(F.lit(True).alias("asked"))
+    held = store(held.join(asked, key, "left_semi").dropDuplicates(key), "warc-held")
+    found = wanted.join(held, key, "left").select(
+        "page_id", F.col("__n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return read.filter("record_type = 'response'").unionByName(found)
 
 

@@ -4,7 +4,7 @@ import hashlib
 import pytest
 
 from cdmspark.llm.common import new_folder
-from cdmspark.llm.warc import coalesced, decide, parse, read_records, record, write_archives
+from cdmspark.llm.warc import coalesced, decide, op6_warc, parse, read_records, record, write_archives
 
 BIG = "é" * 700
 ROWS = [(1, "http://a/", BIG), (2, "http://b/ x\r\nWARC-Type: no", BIG), (3, None, "small"), (4, "u", "small"), (5, "u", None),
@@ -50,3 +50,13 @@ def test_one_member_is_a_record():
 def test_reads_are_joined_by_gap():
     assert coalesced([(0, 10), (100, 5), (10, 20), (10 ** 7, 3)]) == [
         (0, 105, [(0, 10), (10, 20), (100, 5)]), (10 ** 7, 3, [(10 ** 7, 3)])]
+
+
+def test_revisits_of_a_page_id_that_repeats(spark, tmp_root):
+    """Two pages 9 of other html: each revisit gets the figures of its own payload."""
+    html = {"a": "a" * 1500, "b": "b" * 2500}
+    rows = [(9, "u", html["a"]), (9, "u", html["b"]), (5, "u", html["a"]), (4, "u", html["b"])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_root}/pages.parquet")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.refers_to) for r in op6_warc(spark, tmp_root).collect()
+           if r.record_type == "revisit"}
+    assert got == {i: (len(h), hashlib.sha1(h.encode()).hexdigest(), 9) for i, h in ((5, html["a"]), (4, html["b"]))}
