@@ -8,6 +8,7 @@ from .exact_dedup import OP3_SQL, op3_exact_dedup
 from .html_extract import op5_html_extraction
 from .mixing import OP7_SQL, op7_mixing
 from .order_minhash import op10_order_minhash
+from .periodic_runs import op13_periodic_runs
 from .pieces import op4_sentencepiece
 from .quality import op9_quality
 from .simhash import op2_simhash
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_order_minhash": op10_order_minhash,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
