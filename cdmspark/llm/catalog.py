@@ -10,6 +10,7 @@ from .mixing import OP7_SQL, op7_mixing
 from .order_minhash import op10_order_minhash
 from .periodic_runs import op13_periodic_runs
 from .pieces import op4_sentencepiece
+from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .quality import op9_quality
 from .simhash import op2_simhash
 from .token_files import op8_token_files
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_order_minhash": op10_order_minhash,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
@@ -35,6 +37,7 @@ ORACLES = {
     "op3_exact_dedup": OP3_SQL,
     "op6_warc": OP6_SQL,
     "op7_mixing": OP7_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL is not None:
