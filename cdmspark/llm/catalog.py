@@ -14,6 +14,7 @@ from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .quality import op9_quality
 from .simhash import op2_simhash
 from .token_files import op8_token_files
+from .token_counts import op11_token_counts
 from .toxicity import op1_toxicity
 from .warc import OP6_SQL, op6_warc
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_order_minhash": op10_order_minhash,
+    "op11_token_counts": op11_token_counts,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
