@@ -125,10 +125,11 @@ def _texts_to_encode(docs: DataFrame, plan: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("id"), F.sha2(F.col("text"), 256).alias("hex"), "text").withColumn(
         "sha", F.unhex("hex")).drop("hex")
     match = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("digest"))
-    take = plan.filter("wanted and copies = 1").select("doc_id", "digest")
-    leave = plan.filter("not wanted or copies > 1").select("doc_id", "digest")
+    # stored apart, so that the planner knows the bytes of the one that joins before texts could shuffle
+    take = store(plan.filter("wanted and copies = 1").select("doc_id", "digest"), "take")
+    leave = store(plan.filter("not wanted or copies > 1").select("doc_id", "digest"), "leave")
     once = texts.join(take, match, "left_semi") if take.count() <= leave.count() else texts.join(leave, match, "left_anti")
-    repeated = plan.filter("wanted and copies > 1").select("doc_id", "digest")
+    repeated = store(plan.filter("wanted and copies > 1").select("doc_id", "digest"), "repeated")
     many = texts.join(repeated, match, "left_semi").groupBy("sha").agg(F.first("text").alias("text"))
     return once.select(F.col("sha").alias("digest"), "text").unionByName(many.select(F.col("sha").alias("digest"), "text"))
 
