@@ -6,12 +6,11 @@ a changed file, library or setting never meets an older count. Normalised means:
 text, and bytes that are no UTF-8 replaced by U+FFFD; nothing that a tokenizer could count otherwise.
 
 1. Documents become (doc_id, digest, n_bytes); texts stay where they are.
-2. Digests are counted by (digest, doc_id) and matched against the cache. Of each digest it lacks, the
-   smallest doc_id is to be encoded: the misses.
-3. The documents to encode are found without moving texts: the smaller of the two tables, misses or
-   documents to leave out, is joined to a second read of the texts, which Spark broadcasts while its
-   stored bytes are few and shuffles beyond. Documents that repeat in id and text, of which one is
-   wanted, are taken out before and reduced to one row of text a task and digest.
+2. Distinct digests are matched against the cache; those it lacks are the misses.
+3. One text a miss is encoded. Where misses are more than ``FEW`` of the distinct texts, copies are
+   reduced to one text a task and digest, which then shuffle on the digest once, and the misses among
+   them are encoded where they arrive. Where they are fewer, only documents with a missing digest are
+   picked out first, by a join that Spark broadcasts while the misses' stored bytes are few.
 4. Counts of the misses are appended to the cache as Parquet below ``version=...``. A reader takes one
    row a digest, so an append that was repeated, or that two jobs did at once, does no harm.
 5. Documents are joined to the counts on the digest. Texts with many copies are narrow rows there, in
@@ -36,6 +35,8 @@ from .common import new_folder, small_batches, store, table
 
 LIMIT = 4096
 CACHE_DDL = "digest binary, n_tokens bigint"
+#: Share of the distinct texts up to which misses count as few; a share, so that any size behaves alike.
+FEW = 0.1
 #: Texts handed to the library at once, in characters; a longer text goes alone.
 CHARS = 1 << 20
 
@@ -119,19 +120,13 @@ class CountCache:
         counts.select("digest", "n_tokens").write.mode("append").parquet(self.folder)
 
 
-def _texts_to_encode(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """(digest, text) of one document a missing digest. ``plan``: doc_id, digest, copies (rows equal in both),
-    wanted."""
-    texts = docs.select(F.col("doc_id").alias("id"), F.sha2(F.col("text"), 256).alias("hex"), "text").withColumn(
-        "sha", F.unhex("hex")).drop("hex")
-    match = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("digest"))
-    # stored apart, so that the planner knows the bytes of the one that joins before texts could shuffle
-    take = store(plan.filter("wanted and copies = 1").select("doc_id", "digest"), "take")
-    leave = store(plan.filter("not wanted or copies > 1").select("doc_id", "digest"), "leave")
-    once = texts.join(take, match, "left_semi") if take.count() <= leave.count() else texts.join(leave, match, "left_anti")
-    repeated = store(plan.filter("wanted and copies > 1").select("doc_id", "digest"), "repeated")
-    many = texts.join(repeated, match, "left_semi").groupBy("sha").agg(F.first("text").alias("text"))
-    return once.select(F.col("sha").alias("digest"), "text").unionByName(many.select(F.col("sha").alias("digest"), "text"))
+def _texts_to_encode(docs: DataFrame, misses: DataFrame, few: bool) -> DataFrame:
+    """(digest, text) of one document a missing digest."""
+    texts = docs.select(F.unhex(F.sha2(F.col("text"), 256)).alias("digest"), "text")
+    if few:
+        return texts.join(misses, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    one = texts.groupBy("digest").agg(F.first("text").alias("text"))
+    return one.join(misses.hint("merge"), "digest", "left_semi")
 
 
 def token_counts(docs: DataFrame, counter: TokenCounter, cache_root: str, id_col: str = "doc_id",
@@ -143,14 +138,12 @@ def token_counts(docs: DataFrame, counter: TokenCounter, cache_root: str, id_col
     docs = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text"))
     keys = store(docs.select("doc_id", F.unhex(F.sha2(F.col("text"), 256)).alias("digest"),
                              F.octet_length("text").cast("bigint").alias("n_bytes")), "keys")
-    pairs = keys.groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
-    best = pairs.groupBy("digest").agg(F.min(F.struct("doc_id", "copies")).alias("best"))
-    misses = store(best.join(cache.read(), "digest", "left_anti").select("digest", "best.doc_id", "best.copies"), "misses")
-    if not misses.isEmpty():
-        mine = misses.select(F.col("digest").alias("d"), F.col("doc_id").alias("first"))
-        plan = store(pairs.join(mine, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
-                     .select("doc_id", "digest", "copies", F.col("d").isNotNull().alias("wanted")), "plan")
-        cache.append(_texts_to_encode(docs, plan).select("digest", counter.column(F.col("text")).alias("n_tokens")))
+    distinct = store(keys.select("digest").distinct(), "digests")
+    misses = store(distinct.join(cache.read(), "digest", "left_anti"), "misses")
+    n = misses.count()
+    if n:
+        texts = _texts_to_encode(docs, misses, n <= FEW * distinct.count())
+        cache.append(texts.select("digest", counter.column(F.col("text")).alias("n_tokens")))
     return keys.join(store(cache.read(), "counts"), "digest").select("doc_id", "n_bytes", "n_tokens")
 
 

@@ -76,8 +76,8 @@ def test_versions_are_apart(spark):
 
 
 @pytest.mark.parametrize("wanted", [2, 30])
-def test_texts_to_encode_from_either_side(spark, wanted):
-    """Few misses are joined in, many by leaving out the others."""
+def test_few_and_many_misses(spark, wanted):
+    """Few misses are picked out of the documents, many found among all distinct texts."""
     rows = [(k, f"text {k}") for k in range(40)] + [(k, "same") for k in range(3)] * 2
     root, counter = new_folder(spark, "counts"), C.TokenCounter(PIECES)
     known = rows[wanted:40]
