@@ -261,6 +261,9 @@ REQUIRED_FIELDS = [f[1] for f in CDM_FIELDS if f[5]]
 
 
 def target_column(cdm_field: str) -> str:
+    """The sales column of a field; an added field with the name of another field's column gets a suffix."""
+    if cdm_field not in CDM_NAMES and cdm_field in SALES_COLUMNS:
+        return f"{cdm_field}_field"
     return CDM_TARGET_COLUMN.get(cdm_field, cdm_field)
 
 

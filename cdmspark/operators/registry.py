@@ -39,8 +39,30 @@ def next_field_number(cdm: DataFrame) -> DataFrame:
 
 
 def insert_if_absent(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` whose key is not in ``existing`` (first row per key)."""
-    return new.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+    """Rows of ``new`` whose key is not in ``existing``; of rows with one key the smallest in the
+    order of their other columns."""
+    rest = [c for c in new.columns if c != key]
+    one = new.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*").select(*new.columns)
+    return one.join(existing.select(key), key, "left_anti")
+
+
+def field_list(cdm: DataFrame) -> list[tuple]:
+    """The registry in field-id order as the tuples that plans and sinks take (id, name, display name, type,
+    description, required, examples): a few words a field reach the driver."""
+    names = ["field_id", "field_name", "display_name", "data_type", "description", "is_required", "example_values"]
+    rows = cdm.select(*names).collect()
+    number = lambda r: (int("".join(ch for ch in r["field_id"] or "" if ch.isdigit()) or 0), r["field_name"])
+    return [(*r[:5], bool(r["is_required"]), r[6]) for r in sorted(rows, key=number)]
+
+
+def extended_mappings(mappings: DataFrame, headers: DataFrame, fields: list[tuple]) -> DataFrame:
+    """``mappings`` (layout_id, source_column, cdm_field, transformation) and, for every field the registry has
+    beyond the seed, the source column of a layout whose normalised name it is."""
+    added = [f[1] for f in fields if f[1] not in model.CDM_NAMES]
+    columns = headers.select("layout_id", "names").distinct().select("layout_id", F.explode("names").alias("source_column"))
+    named = columns.withColumn("cdm_field", normalized_name(F.col("source_column"))).filter(F.col("cdm_field").isin(*added))
+    first = named.groupBy("layout_id", "cdm_field").agg(F.min("source_column").alias("source_column"))
+    return mappings.unionByName(first.withColumn("transformation", F.lit(None).cast("string")).select(*mappings.columns))
 
 
 def add_fields(cdm: DataFrame, proposals: DataFrame, added_by: str,

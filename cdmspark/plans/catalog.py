@@ -527,6 +527,7 @@ def data_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- retrieval (M1-M4, M15) -----------------------------------------------------------------
 
+from ..operators import dense as DN  # noqa: E402
 from ..operators import retrieve as RT  # noqa: E402
 from . import oracle_retrieve as ORT  # noqa: E402
 
@@ -605,28 +606,30 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 def similar_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """M2 dense: exact top-3 cosine neighbours of every vector, as products of blocks."""
     v = _vectors(spark, sf)
-    return _out(RT.topk_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True))
+    return _out(DN.topk_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True))
 
 
 @register("similar_vectors_lsh")
 def similar_vectors_lsh(spark: SparkSession, sf: str) -> DataFrame:
-    """M3 dense: approximate top-3 from an inverted file (as many lists probed as a recall of 0.95 on a sample takes)."""
+    """M3 dense: approximate top-3 from quantised vectors, the best by code ranked again exactly."""
     v = _vectors(spark, sf)
-    return _out(RT.approx_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True))
+    return _out(DN.approx_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True))
 
 
 @register("lsh_recall")
 def lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """M3: recall of the approximate top-3 against the exact one, and the share of pairs compared."""
+    """M3: recall of the approximate top-3 against the exact one, the depth of the rerank, and the share of
+    the exact way's bytes that are compared."""
     v = _vectors(spark, sf)
-    exact = RT.topk_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True)
-    approx = RT.approx_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True)
-    return RT.recall(exact, approx).crossJoin(RT.candidate_share(v, v, _m.NEIGHBOURS, exclude_self=True))
+    index = DN.QuantisedIndex(v, v, _m.NEIGHBOURS, exclude_self=True)
+    exact = DN.topk_dense(v, v, k=_m.NEIGHBOURS, exclude_self=True)
+    return RT.recall(exact, index.search(v)).select(
+        "*", F.lit(index.depth).alias("depth"), F.lit(round(index.compared_share(), 4)).alias("bytes_share"))
 
 
 @register("similar_documents_minhash")
 def similar_documents_minhash(spark: SparkSession, sf: str) -> DataFrame:
-    """M3 text: approximate top-3 documents per benchmark text by MinHash LSH (Jaccard)."""
+    """M3 text: approximate top-3 documents per benchmark text by MinHash (Jaccard)."""
     docs = TB.table(spark, sf, "documents", "doc_id", "text")
     qs = TB.table(spark, sf, "benchmark", "item_id", "text")
     return _out(RT.approx_sparse(RT.prose_terms(docs, "doc_id", "text"),
@@ -904,13 +907,22 @@ def stream_running_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("stream_corpus_refresh", OW.approved_sql())
 def stream_corpus_refresh(spark: SparkSession, sf: str) -> DataFrame:
-    """Approved mappings arrive as files; the corpus takes each mapping once."""
-    corpus = W.approved_corpus(WP.reviews(spark, sf))
+    """Approvals arrive in five files in no order, one a micro-batch, some of them twice; the newest
+    approval of each mapping counts, before and after old epochs are folded."""
+    a = WP.reviews(spark, sf).filter(F.col("decision") == "APPROVED").select(
+        "mapping_id", "upload_id", "customer_id", "source_schema", F.col("final_mapping_json").alias("cdm_mapping"),
+        F.col("reviewer").alias("approved_by"), F.col("reviewed_at").alias("approved_at"), "event_id")
+    a = _mat(a.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4))))
     src, dst, ck = _fresh(spark, "approved"), _fresh(spark, "corpus"), _fresh(spark, "ck")
-    SK.append(corpus, src)
-    SK.append(corpus, src)  # the same approvals delivered twice
-    ST.refresh_corpus(spark, src, dst, ck, corpus.schema)
-    return spark.read.parquet(dst)
+    for part in (2, 0, 3):
+        SK.append(a.filter(F.col("part") == part).drop("part").coalesce(1), src)
+    schema = a.drop("part").schema
+    ST.refresh_corpus(spark, src, dst, ck, schema, files_a_batch=1)
+    ST.corpus_log(spark, dst, schema).compact()
+    for part in (1, 0):
+        SK.append(a.filter(F.col("part") == part).drop("part").coalesce(1), src)
+    ST.refresh_corpus(spark, src, dst, ck, schema, files_a_batch=1)
+    return ST.corpus_log(spark, dst, schema).read().drop("event_id")
 
 
 @register("stream_new_uploads", OP.profile_sql("typed"))
@@ -927,9 +939,8 @@ def stream_new_uploads(spark: SparkSession, sf: str) -> DataFrame:
 from ..operators import statemachine as SM  # noqa: E402
 
 
-@register("strict_upload_states", OW.strict_states_sql())
-def strict_upload_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordered fold of upload/map/approve/reject steps; illegal steps counted and ignored."""
+def upload_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """(upload_id, ts, event_id, step) of all uploads, proposals and decisions."""
     ev = WE.events(spark, sf)
     up = ev.filter(F.col("event_type") == "signup").select(
         "upload_id", "ts", "event_id", F.lit("upload").alias("step"))
@@ -938,4 +949,10 @@ def strict_upload_states(spark: SparkSession, sf: str) -> DataFrame:
     rv = f.reviews.select(
         "upload_id", F.col("reviewed_at").alias("ts"), "event_id",
         F.when(F.col("decision") == "APPROVED", "approve").otherwise("reject").alias("step"))
-    return SM.strict_states(up.unionByName(mp).unionByName(rv))
+    return up.unionByName(mp).unionByName(rv)
+
+
+@register("strict_upload_states", OW.strict_states_sql())
+def strict_upload_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordered fold of upload/map/approve/reject steps; illegal steps counted and ignored."""
+    return SM.strict_states(upload_steps(spark, sf))

@@ -1,7 +1,7 @@
 """DuckDB SQL for the sales path, written straight from the rules (not from the Spark plan).
 
 For each CDM field a layout either maps it (value from the joined tables), or not (NULL, a
-derived measure, or the tenant id for ``customer_id``). Bad rows are the two planted rules.
+derived measure, or the tenant id for ``customer_id``). Bad rows are the three planted rules.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ JOINED = """
          CAST(CAST(l.l_quantity AS BIGINT) * CAST(p.p_retailprice AS DECIMAL(12,2))
               AS DECIMAL(18,2)) AS cst,
          (l.l_linenumber = 7 AND l.l_suppkey % 10 = 0) AS bad_rev,
-         (l.l_linenumber = 6 AND l.l_suppkey % 10 = 0) AS bad_sku
+         (l.l_linenumber = 6 AND l.l_suppkey % 10 = 0) AS bad_sku,
+         (l.l_linenumber = 5 AND l.l_suppkey % 10 = 0 AND l.l_orderkey % 6 = 3) AS bad_date
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
@@ -84,7 +85,7 @@ def checked_select() -> str:
          {_case("concat('REP_', l_suppkey)", m('rep_id'))} AS rep_id,
          {_system_case()} AS source_system,
          {AS_OF_SQL} AS ingested_at,
-         bad_rev, bad_sku,
+         bad_rev, bad_sku, bad_date,
          l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
          l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
   FROM ({JOINED}) j
@@ -96,7 +97,7 @@ SALES_COLS = ", ".join(model.SALES_COLUMNS)
 
 def sales_sql() -> str:
     """Accepted conformed rows."""
-    return f"SELECT {SALES_COLS} FROM ({checked_select()}) x WHERE NOT bad_rev AND NOT bad_sku"
+    return f"SELECT {SALES_COLS} FROM ({checked_select()}) x WHERE NOT bad_rev AND NOT bad_sku AND NOT bad_date"
 
 
 def totals_sql(*by: str) -> str:
@@ -116,9 +117,9 @@ def load_report_sql() -> str:
     """Per upload counts of read, loaded, missing-required and cast-error rows."""
     return f"""
 SELECT upload_id, customer_id, count(*) AS rows_read,
-       count(*) FILTER (WHERE NOT bad_rev AND NOT bad_sku) AS rows_loaded,
+       count(*) FILTER (WHERE NOT bad_rev AND NOT bad_sku AND NOT bad_date) AS rows_loaded,
        count(*) FILTER (WHERE bad_sku OR bad_rev) AS rows_missing_required,
-       CAST(0 AS BIGINT) AS rows_cast_error,
+       count(*) FILTER (WHERE bad_date) AS rows_cast_error,
        CAST(0 AS BIGINT) AS rows_bad_transformation
 FROM ({checked_select()}) x
 GROUP BY upload_id, customer_id
@@ -129,8 +130,8 @@ def load_accounting_sql(without: int) -> str:
     """Rows in the file = loaded + rejected per upload, when layout ``without`` has no mapping."""
     return f"""
 SELECT upload_id, count(*) AS rows_in_file,
-       count(*) FILTER (WHERE NOT none AND NOT bad_rev AND NOT bad_sku) AS rows_loaded,
-       count(*) FILTER (WHERE none OR bad_rev OR bad_sku) AS rows_rejected,
+       count(*) FILTER (WHERE NOT none AND NOT bad_rev AND NOT bad_sku AND NOT bad_date) AS rows_loaded,
+       count(*) FILTER (WHERE none OR bad_rev OR bad_sku OR bad_date) AS rows_rejected,
        count(*) FILTER (WHERE none) AS rows_without_mapping, TRUE AS balanced
 FROM (SELECT *, starts_with(upload_id, 'U{without}_') AS none FROM ({checked_select()}) x) y
 GROUP BY upload_id
@@ -145,7 +146,7 @@ def transformed_sql() -> str:
         "revenue", "discount", "net_revenue", "margin", "units_sold", "product_name", "channel", "cost"))
     return f"""
 WITH x AS (SELECT *, CAST(substr(upload_id, 2, 1) AS INTEGER) AS lay FROM ({checked_select()}) c
-           WHERE NOT bad_rev AND NOT bad_sku),
+           WHERE NOT bad_rev AND NOT bad_sku AND NOT bad_date),
 v AS (SELECT * REPLACE (
         CASE lay WHEN 0 THEN CAST(revenue * 0.01 AS DECIMAL(18,2)) WHEN 1 THEN CAST(round(revenue, 1) AS DECIMAL(18,2))
                  ELSE revenue END AS revenue,
@@ -183,14 +184,14 @@ has AS (SELECT lay.lay, count(e.cdm_field) > 0 AS has_last
         GROUP BY lay.lay)
 SELECT {cols}, {pick}
 FROM (SELECT *, CAST(substr(upload_id, 2, 1) AS INTEGER) AS lay FROM ({checked_select()}) c) x JOIN has USING (lay)
-WHERE NOT bad_rev AND NOT bad_sku
+WHERE NOT bad_rev AND NOT bad_sku AND NOT bad_date
 """
 
 
 def _text_values() -> dict[str, str]:
     """DuckDB text rendering of each CDM field, as the raw file would carry it."""
     return {
-        "date": "CAST(CAST(l_shipdate AS DATE) AS VARCHAR)",
+        "date": "CAST(CAST(l_shipdate AS DATE) AS VARCHAR) || CASE WHEN bad_date THEN ' or so' ELSE '' END",
         "customer_id": "concat('ACC_', o_custkey)",
         "customer_name": "c_name",
         "product_sku": "CASE WHEN bad_sku THEN '' ELSE concat('SKU-', pk) END",

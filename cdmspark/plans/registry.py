@@ -26,4 +26,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import catalog  # noqa: F401
+    from . import catalog, changes, ingest, streams  # noqa: F401

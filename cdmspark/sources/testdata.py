@@ -9,8 +9,9 @@ Raw uploads are the same two frames the CSV reader yields:
 * rows    (upload_id, row_ord, vals array<string>)  -- values by position, header excluded
 * headers (upload_id, layout_id, customer_id, source_system, file_name, names array<string>)
 
-Two rules plant bad rows on purpose: line 7 of a supplier ending in 0 writes ``n/a`` as revenue
-(a cast error) and line 6 of such a supplier writes an empty SKU (a missing required field).
+Three rules plant bad rows on purpose: line 7 of a supplier ending in 0 writes ``n/a`` as revenue and
+line 6 of such a supplier an empty SKU (missing required fields); line 5 of such a supplier in the files
+of layout ``BAD_DATE_LAYOUT`` writes text after the date (a cast error).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from ..functions.local import values_frame
 from .tables import table
 
 N_LAYOUTS = len(model.LAYOUTS)
+BAD_DATE_LAYOUT = 3
 
 
 def layouts_frame(spark: SparkSession) -> DataFrame:
@@ -58,8 +60,10 @@ def _canonical_values(j: DataFrame) -> dict[str, Column]:
     qty = F.col("l_quantity").cast("bigint")
     cost = (qty * F.col("p_retailprice").cast("decimal(12,2)")).cast("decimal(18,2)")
     bad_supp = (F.col("l_suppkey") % 10) == 0
+    day = F.col("l_shipdate").cast("date").cast("string")
+    bad_date = (F.col("l_orderkey") % N_LAYOUTS == BAD_DATE_LAYOUT) & (F.col("l_linenumber") == 5) & bad_supp
     return {
-        "date": F.col("l_shipdate").cast("date").cast("string"),
+        "date": F.when(bad_date, F.concat(day, F.lit(" or so"))).otherwise(day),
         "customer_id": F.concat(F.lit("ACC_"), F.col("o_custkey").cast("string")),
         "customer_name": F.col("c_name"),
         "product_sku": F.when((F.col("l_linenumber") == 6) & bad_supp, F.lit(""))

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from cdmspark.functions.local import values_frame
+from cdmspark.operators import dense as DN
 from cdmspark.operators import retrieve as RT
 
 WORDS = ["the", "and", "of", "sales", "revenue", "store", "date", "unit", "price", "cost",
@@ -16,7 +17,7 @@ def _brute_sparse(cw, qw, k):
     s = (qw.select(F.col("id").alias("query_id"), "term", F.col("w").alias("a"))
          .join(cw.select(F.col("id").alias("doc_id"), "term", F.col("w").alias("b")), "term")
          .groupBy("query_id", "doc_id").agg(F.sum(F.col("a") * F.col("b")).alias("score")))
-    return RT._rank(s, k)
+    return RT.rank_top(s, k)
 
 
 def _rows(df):
@@ -39,7 +40,7 @@ def test_dense_topk_equals_brute_force(spark):
     rnd = random.Random(5)
     vecs = [(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(200)]
     v = values_frame(spark, vecs, "id long, vec array<float>")
-    got = _rows(RT.topk_dense(v, v, k=3, exclude_self=True))
+    got = _rows(DN.topk_dense(v, v, k=3, exclude_self=True))
     unit = {i: [x / math.sqrt(sum(y * y for y in vec)) for x in vec] for i, vec in vecs}
     # brute force in Python over float32 inputs
     import numpy as np
@@ -62,31 +63,56 @@ def test_neighbour_ids(spark):
     assert r["similar_mappings_used"] == 2
 
 
-def test_blocks_and_probes(spark, monkeypatch):
+def test_blocks_and_quantised_vectors(spark, monkeypatch):
     """More blocks change nothing; scores of the approximate result are exact, its recall is stated."""
     rnd = random.Random(9)
     centre = [[rnd.gauss(0, 1) for _ in range(16)] for _ in range(12)]
     vecs = [(i, [x + rnd.gauss(0, 0.2) for x in centre[i % 12 if i % 3 else 0]]) for i in range(600)]
     v = spark.createDataFrame(vecs, "id long, vec array<float>")
-    exact = RT.topk_dense(v, v, k=3, exclude_self=True)
+    exact = DN.topk_dense(v, v, k=3, exclude_self=True)
     want = _rows(exact)
-    score = {(r["query_id"], r["doc_id"]): r["score"] for r in RT.topk_dense(v, v, k=600).collect()}
-    monkeypatch.setattr(RT, "BLOCK", 50)
-    assert _rows(RT.topk_dense(v, v, k=3, exclude_self=True)) == want
-    approx = RT.approx_dense(v, v, k=3, exclude_self=True)
+    score = {(r["query_id"], r["doc_id"]): r["score"] for r in DN.topk_dense(v, v, k=600).collect()}
+    monkeypatch.setattr(DN, "BLOCK", 50)
+    monkeypatch.setattr(DN, "CELLS", 300)
+    assert _rows(DN.topk_dense(v, v, k=3, exclude_self=True)) == want
+    approx = DN.approx_dense(v, v, k=3, exclude_self=True)
     got = approx.collect()
     assert all(abs(r["score"] - score[r["query_id"], r["doc_id"]]) < 1e-9 for r in got)
     assert RT.recall(exact, approx).collect()[0]["recall"] > 0.9
-    assert RT.candidate_share(v, v).collect()[0]["candidate_share"] < 0.4
+    index = DN.QuantisedIndex(v, v, 3, exclude_self=True)
+    assert 3 <= index.depth <= 100 and index.codes.filter("length(code) <> 16").isEmpty()
     empty = v.limit(0)
-    assert RT.topk_dense(empty, v).count() == 0 == RT.approx_dense(empty, v).count()
+    assert DN.topk_dense(empty, v).count() == 0 == DN.approx_dense(empty, v).count()
 
 
 def test_recall_on_the_given_embeddings(spark):
     from cdmspark.plans.catalog import lsh_recall
     from tests.conftest import SF_MID
     got = lsh_recall(spark, SF_MID).collect()[0]
-    assert got["n_exact"] == 1500 and got["recall"] >= 0.9
+    assert got["n_exact"] == 1500 and got["recall"] >= 0.9 and got["bytes_share"] <= 0.1
+
+
+def test_codes_sum_like_distance_tables():
+    """A product with the decoded vector is the sum of the products with the code's centroids."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    x = DN.unit(rng.normal(size=(700, 30)))
+    books = DN.Codebooks(x, codes=8, steps=4)
+    codes = books.encode(x)
+    assert codes.shape == (700, 8) and books.width == 4
+    q = np.zeros(32)
+    q[:30] = rng.normal(size=30)
+    tables = [books.books[j] @ q[4 * j:4 * j + 4] for j in range(8)]
+    by_table = sum(t[codes[:, j]] for j, t in enumerate(tables))
+    assert np.allclose(books.decode(codes) @ q[:30], by_table, atol=1e-5)
+    assert ((books.decode(codes) - x) ** 2).sum(1).mean() < 0.5
+
+
+def test_odd_vectors(spark):
+    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 2.0])], "id long, vec array<float>")
+    want = {(1, 2), (2, 3), (3, 2), (4, 1)}
+    assert {(r.query_id, r.doc_id) for r in DN.topk_dense(v, v, 1, True).collect()} == want
+    assert {(r.query_id, r.doc_id) for r in DN.approx_dense(v, v, 3, True).filter("rank = 1").collect()} == want
 
 
 def test_minhash_recall_on_the_given_texts(spark):
