@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store, table, whole_text
+from .common import packed, store, table, text_of, unpacked, whole_text
 
 BITS = 3
 BITS_PER_ROW = 16
@@ -90,19 +90,15 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without the dropped rows, all columns kept. Possibly repeated rows shuffle as one
     partial maximum per text and task, so a text that fills a third of the table costs one row a
     task."""
-    cols = docs.columns
-    h = docs.select(F.xxhash64(whole_text(text_col)).alias("__h"))
-    h = store(h, "hashes")
+    h = store(docs.select(F.xxhash64(whole_text(text_col)).alias("__h")), "hashes")
     n_words = _words(h.count())
-    marked = mark_repeats(docs.withColumn("__h", F.xxhash64(whole_text(text_col))), "__h",
-                          repeat_filter(h, "__h", n_words), n_words)
-    single = marked.filter(~F.col("__maybe")).select(*cols)
-    maybe = marked.filter("__maybe")
-    plain = [F.col(f"`{c}`").cast("string") for c in cols]
-    best = maybe.groupBy(F.sha2(whole_text(text_col), 256).alias("__sha")).agg(
-        F.max_by(F.struct(*[F.col(f"`{c}`") for c in cols]),
-                 F.struct(F.col(id_col), F.xxhash64(*plain))).alias("__row"))
-    return single.unionByName(best.select("__row.*"))
+    text, row = text_of(text_col), F.col("row")
+    marked = mark_repeats(packed(docs).withColumn("__h", F.xxhash64(text)), "__h", repeat_filter(h, "__h", n_words), n_words)
+    single = marked.filter(~F.col("__maybe")).select("row")
+    plain = [row[c].cast("string") for c in docs.columns]
+    best = marked.filter("__maybe").groupBy(F.sha2(text, 256).alias("__sha")).agg(
+        F.max_by("row", F.struct(row[id_col], F.xxhash64(*plain))).alias("row"))
+    return unpacked(single.unionByName(best.select("row")), docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

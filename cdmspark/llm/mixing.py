@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import store, table, whole_text
+from .common import packed, store, table, text_of, unpacked, whole_text
 
 WEIGHTS, TOTAL, COPIES, SEED = (5, 2, 1), 1.5, 2, "mix"
 MAX_PATTERNS, ROWS_A_PREFIX = 100_000, 256
@@ -171,22 +171,21 @@ def mix(docs: DataFrame, sources_col: str, size_col: str, id_col: str = "doc_id"
 def take_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row for every copy taken, the leading words
     of the text (and their ``n_chars``) where the copy is cut; rows the mix takes nothing of go."""
-    cols = docs.columns
-    sized = docs.withColumn("__size", words(whole_text(text_col))).withColumn("__sources", F.array(source_col))
-    mixed, _ = mix(sized, "__sources", "__size", id_col)
+    row, text = F.col("row"), text_of(text_col)
+    sized = packed(docs).withColumns({"__size": words(text), "__sources": F.array(row[source_col].cast("string")), "__id": row[id_col]})
+    mixed, _ = mix(sized, "__sources", "__size", "__id")
     full = F.floor(F.col("__taken") / F.col("__size"))
     parts = F.concat(F.array_repeat(F.col("__size"), full.cast("int")), F.filter(
         F.array(F.pmod("__taken", "__size")), lambda x: x > 0))
     rows = mixed.filter("__taken > 0").withColumn("__part", F.explode(parts))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)),
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)),
                                 F.lit(1), F.col("__part").cast("int")), "")
     cut = F.col("__part") < F.col("__size")
-    out = {c: F.col(f"`{c}`") for c in cols}
-    out[text_col] = F.when(cut, head).otherwise(F.col(text_col))
-    if "n_chars" in cols:
+    changed = {text_col: F.when(cut, head).otherwise(row[text_col])}
+    if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out["n_chars"] = F.when(cut, F.length(head)).otherwise(F.col("n_chars")).cast(kind)
-    return rows.select(*[v.alias(c) for c, v in out.items()])
+        changed["n_chars"] = F.when(cut, F.length(head)).otherwise(row["n_chars"]).cast(kind)
+    return unpacked(rows, docs.columns, changed)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

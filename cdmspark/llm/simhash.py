@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, store, table, whole_text
+from .common import packed, small_batches, store, table, text_of, unpacked, whole_text
 from .components import components
 
 SHINGLE, MAX_BITS, BLOCKS = 3, 3, 4
@@ -172,7 +172,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each group, that of the smallest doc_id (of rows equal in doc_id,
     the one of the smallest text hash); all columns kept. Only rows that go, and rows that repeat
     id and text, are looked up; the rest pass."""
-    cols = [f"`{c}`" for c in docs.columns]
     near = store(near_duplicates(docs, id_col, text_col, shingle, max_bits), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
     best = near.groupBy("root").agg(F.min(order).alias("best"))
@@ -181,11 +180,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n",
         (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))
         .alias("__stays")).filter("not __stays or n > 1")
-    hashed = docs.withColumn("__h", F.xxhash64(whole_text(text_col)))
-    met = hashed.join(fate, (F.col("__h") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    once = met.filter("__stays is null").select(*cols)
-    again = met.filter("__stays").dropDuplicates([id_col, "__h"]).select(*cols)
-    return once.unionByName(again)
+    hashed = packed(docs).withColumn("__h", F.xxhash64(text_of(text_col))).withColumn("__of", F.col("row")[id_col])
+    met = hashed.join(fate, (F.col("__h") == F.col("__hash")) & F.col("__of").eqNullSafe(F.col("__id")), "left")
+    once = met.filter("__stays is null").select("row")
+    again = met.filter("__stays").dropDuplicates(["__of", "__h"]).select("row")
+    return unpacked(once.unionByName(again), docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

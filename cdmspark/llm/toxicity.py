@@ -7,7 +7,7 @@
    all candidates reaches by chance. A stem that only repeats a longer term gives way to it. At most
    ``TERMS`` terms, the strongest ones.
 2. Matching. The terms form a trie. The automaton of a word's Levenshtein neighbourhood walks it:
-   one edit from ``EDIT_LEN`` letters on, two from ``EDIT2_LEN`` on. Every distinct word is matched
+   one edit from ``EDIT_LEN`` letters on, two from ``EDIT2_LEN`` on; a swap of neighbours is one edit. Every distinct word is matched
    once per worker (a table of ``WORDS_KEPT`` words, emptied when full); a word without any piece of a term where that piece can stand is skipped, which
    loses nothing (with e edits, one of e + 1 pieces is intact). Misspellings that occur in training
    documents without toxic label are words of their own and do not count.
@@ -38,7 +38,7 @@ from .common import small_batches, store, table, whole_text
 
 TRAIN_ROWS, TERMS, STEM, ODDS = 20_000, 5_000, 10, 20.0
 PAIRS, WORDS_KEPT = 200_000, 200_000
-EDIT_LEN, EDIT2_LEN = 5, 9
+EDIT_LEN, EDIT2_LEN = 4, 9
 WINDOW = 8
 WORD = re.compile(r"[^\W_]+(?:[@$!*'’][^\W_]+)*")
 # Quotation marks, words of reporting and of direct address.
@@ -49,6 +49,14 @@ REPORT = frozenset("""said says say saying wrote writes called calls calling quo
 ADDRESS = frozenset("you your youre yourself du dich dein ihr euch tu te toi ton vous votre tú ti usted vosotros".split())
 
 
+def swapped(term: str, cuts: list[int]) -> str:
+    """``term`` with the letters on both sides of each cut in each other's place."""
+    letters = list(term)
+    for x in cuts:
+        letters[x - 1], letters[x] = letters[x], letters[x - 1]
+    return "".join(letters)
+
+
 class Lexicon:
     """Terms in a trie; ``stem`` terms match any word that begins with them."""
 
@@ -76,6 +84,12 @@ class Lexicon:
             cut = [len(term) * i // (e + 1) for i in range(e + 2)]
             for a, b in zip(cut, cut[1:]):
                 places.setdefault((max(0, a - e), a + e), set()).add(term[a:b])
+            # a swap of the letters on both sides of a cut breaks two pieces at once
+            inner = cut[1:-1]
+            for a, x, b in zip(cut, inner, cut[2:]):
+                places.setdefault((max(0, a - e), a + e), set()).add(swapped(term, [x])[a:b])
+            if len(inner) > 1:
+                places.setdefault((0, 0), set()).add(swapped(term, inner))
         if not places:
             return None
         return re.compile("|".join(
@@ -83,14 +97,15 @@ class Lexicon:
 
     def _walk(self, word: str) -> float:
         """Closeness (1 exact, less by edits, 0 none) of the best term, by stepping the automaton of
-        ``word`` along the trie. A state is the set of (letters of the word read, edits made)."""
+        ``word`` along the trie. A state is the set of (letters of the word read, edits made); -1 - i
+        letters stand for i and the second half of a swap still to come."""
         most, n = 2, len(word)
 
         def closed(state: set) -> set:
             todo = list(state)
             while todo:  # a letter of the word that the term lacks
                 i, e = todo.pop()
-                if i < n and e < most and (i + 1, e + 1) not in state:
+                if 0 <= i < n and e < most and (i + 1, e + 1) not in state:
                     state.add((i + 1, e + 1))
                     todo.append((i + 1, e + 1))
             return state
@@ -99,7 +114,7 @@ class Lexicon:
         while todo:
             node, state = todo.pop()
             for term, stem in node.get("", ()):
-                ends = [e for i, e in state if stem or i == n]
+                ends = [e for i, e in state if i == n or stem and i >= 0]
                 if ends and min(ends) <= self.edits(term, stem):
                     best = max(best, 1.0 - 0.25 * min(ends) if min(ends) else 1.0)
             for c, child in node.items():
@@ -107,12 +122,18 @@ class Lexicon:
                     continue
                 step = set()
                 for i, e in state:
+                    if i < 0:
+                        if word[-1 - i] == c:
+                            step.add((1 - i, e))
+                        continue
                     if i < n and word[i] == c:
                         step.add((i + 1, e))
                     elif e < most:
                         step.add((i, e + 1))
                         if i < n:
                             step.add((i + 1, e + 1))
+                        if i + 1 < n and word[i + 1] == c:
+                            step.add((-1 - i, e + 1))
                 if step:
                     todo.append((child, closed(step)))
         return best
@@ -122,7 +143,7 @@ class Lexicon:
         if got is None:
             if len(self.seen) > WORDS_KEPT:
                 self.seen.clear()
-            got = self._walk(word[:64]) if self.hint is not None and self.hint.search(word) else 0.0
+            got = self._walk(word) if self.hint is not None and self.hint.search(word) else 0.0
             if 0 < got < 1 and word in self.clean:
                 got = 0.0
             self.seen[word] = got
@@ -165,14 +186,24 @@ class Model:
     def __init__(self, terms: list[tuple[str, bool]], clean: frozenset[str], weights: list[float]):
         self.terms, self.clean, self.weights = terms, clean, weights
 
-    def scorer(self):
-        lexicon, (w0, *w) = Lexicon(self.terms, self.clean), self.weights
+    def scorer(self) -> "Scorer":
+        return Scorer(self)
+
 
-        def score(text: str) -> float:
-            z = w0 + sum(a * b for a, b in zip(w, features(text, lexicon)))
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+class Scorer:
+    """The score of a text under a model; the words met so far are kept."""
 
-        return score
+    def __init__(self, model: Model):
+        self.lexicon, self.weights = Lexicon(model.terms, model.clean), model.weights
+
+    def judge(self, text: str) -> tuple[float, bool]:
+        """The score, and whether the text has any hit."""
+        found = features(text, self.lexicon)
+        z = self.weights[0] + sum(a * b for a, b in zip(self.weights[1:], found))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), any(found)
+
+    def __call__(self, text: str) -> float:
+        return self.judge(text)[0]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,6 +343,18 @@ def score(text: Column, model: Model) -> Column:
     return run(text)
 
 
+def rejected(text: Column, model: Model) -> Column:
+    """Whether the model finds a hit in the text and scores it 0.5 or more. A text without any hit is never
+    rejected, whatever share of the labels is toxic and even where no term was learned."""
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = model.scorer()
+        for texts in batches:
+            yield pd.Series([p >= 0.5 and hit for p, hit in map(scorer.judge, texts)], dtype="bool")
+
+    return run(text)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")

@@ -18,7 +18,7 @@ def brute(spark, rows):
     """The rows of the pipeline, stage by stage, over (doc_id, text, source)."""
     model = toxicity.fit(toxicity.training_rows(table(spark, SF_SMALL, "documents"), table(spark, SF_SMALL, "labels")))
     scorer = model.scorer()
-    rows = [r for r in rows if scorer(r[1]) < 0.5]
+    rows = [r for r in rows if scorer(r[1]) < 0.5 or not scorer.judge(r[1])[1]]
     last = {}
     for r in sorted(rows):
         last[r[1]] = r
@@ -67,3 +67,28 @@ def test_stages_keep_the_columns_and_survive_odd_rows(spark):
         assert all(r.decoded for r in rows)
     assert len(corpus_pipeline.STAGES) == 5
     assert np.array(rows).size == 0
+
+
+CLASHES = ["__word", "__bits", "__maybe", "__h", "__sha", "__row", "__id", "__of", "__hash", "__stays", "__key", "__size", "__order",
+           "__sources", "__taken", "__copies", "__extra", "__cut", "__rest", "__part", "row", "n", "a.b", "a`b", "s", "fp", "root"]
+
+
+def test_stages_leave_clashing_columns_alone(spark, tmp_path):
+    rows = [(k, f"some words of text {k % 7} " * (4 + k % 3), "en", "ab"[k % 2], 1) for k in range(40)] + [(41, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in CLASHES]) for r in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
+                                     "`" + c.replace("`", "``") + "` string" for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        got = stage(spark, docs, SF_SMALL)
+        assert got.columns == docs.columns, name
+        for r in got.collect():
+            assert [r[c] for c in CLASHES] == [f"{c}{r['doc_id']}" for c in CLASHES], name
+
+
+def test_labels_of_one_kind_do_not_empty_the_corpus(spark, tmp_path):
+    schema = table(spark, SF_SMALL, "documents").schema
+    docs = spark.createDataFrame([(k, f"clean words {k}", "en", "a", 10) for k in range(20)], schema)
+    for k, toxic in enumerate(([1] * 20, [1] * 15 + [0] * 5, [0] * 20)):
+        labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], table(spark, SF_SMALL, "labels").schema)
+        labels.write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        assert corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{k}").count() == 20

@@ -4,17 +4,19 @@ import zlib
 from pyspark.sql import functions as F
 
 from cdmspark.llm.common import table, whole_text
-from cdmspark.llm.toxicity import Lexicon, context, fit, op1_toxicity, score, training_rows
+from cdmspark.llm.toxicity import Lexicon, context, fit, op1_toxicity, rejected, score, training_rows
 from tests.conftest import SF_MID
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Edits with a swap of neighbours as one, by the whole dynamic programme."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 def test_automaton_against_distances():
@@ -27,7 +29,10 @@ def test_automaton_against_distances():
         w = list(rnd.choice(terms)[0] + rnd.choice(["", "", "er", "s"]))
         for _ in range(rnd.randrange(4)):
             k = rnd.randrange(len(w) + 1)
-            w[k:k + rnd.randrange(2)] = rnd.choice(["", "x", "i", "t"])
+            if rnd.random() < 0.4:
+                w[k:k + 2] = w[k:k + 2][::-1]
+            else:
+                w[k:k + rnd.randrange(2)] = rnd.choice(["", "x", "i", "t"])
         words.append("".join(w))
     for w in words:
         want = 0.0
@@ -38,6 +43,14 @@ def test_automaton_against_distances():
         assert lex.match(w) == want, w
 
 
+def test_swaps_short_terms_and_very_long_words():
+    long = "abcdefghijk" * 6
+    lex = Lexicon([("idiot", False), ("moron", False), ("pathetic", False), ("scum", False), (long, False), (long + "xyz", False)])
+    for w in ("idoit", "mroon", "pahtetic", "scuum", "scmu"):
+        assert lex.match(w) == 0.75, w
+    assert lex.match(long) == lex.match(long + "xyz") == 1 and lex.match(long + "xy") == 0.75 and lex.match("q" * 100_000) == 0
+
+
 def test_context_separates_quotation_from_abuse():
     def weight(text, word):
         a = text.index(word)
@@ -79,6 +92,10 @@ def test_learned_terms_misspellings_and_odd_rows(spark):
     for few in (labels.limit(0), labels.filter("toxic = 0")):
         assert {round(r.p, 6) for r in docs.select(score(whole_text(), fit(training_rows(docs, few))).alias("p")).collect()} <= {0.0, 1e-9}
     assert docs.limit(0).select(score(F.col("text"), model)).count() == 0
+    # with labels of one kind, or none learned from, nothing is rejected, whatever the share of toxic ones
+    for few in (labels.filter("toxic = 1"), labels.limit(0), labels.filter("doc_id < 3").replace(0, 1, "toxic")):
+        assert docs.filter(rejected(whole_text(), fit(training_rows(docs, few)))).count() == 0
+    assert {r.doc_id for r in docs.filter(rejected(whole_text(), model)).collect()} >= {i for i, _, x in rows if x}
 
 
 def test_held_out_accuracy(spark):
