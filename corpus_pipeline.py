@@ -17,10 +17,10 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go; one without any hit stays, whatever the labels."""
     small_batches(spark)
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
-    return docs.filter(toxicity.score(whole_text(), model) < 0.5)
+    return docs.filter(~toxicity.rejected(whole_text(), model))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
