@@ -719,6 +719,27 @@ def proposal_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return PR.accuracy(_loo_proposals(spark, sf), gold)
 
 
+def name_proposer(spark: SparkSession) -> PR.Proposer:
+    """A second proposer: names only, the likeness of the column's name to the field's."""
+    def propose(profile: DataFrame) -> DataFrame:
+        fields = F.broadcast(_cdm(spark).select(F.col("field_name").alias("cdm_field")))
+        name = RG.normalized_name(F.col("column_name"))
+        return profile.crossJoin(fields).select("upload_id", "column_name", "cdm_field",
+                                                F.round(PR.name_similarity(name, F.col("cdm_field")), 6).alias("score"))
+    return propose
+
+
+@register("proposer_comparison")
+def proposer_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """M5 to M10 with two proposers over the same profiles: right columns of each, per upload."""
+    heads = TD.sales_headers(spark, sf)
+    gold = heads.join(TD.gold_mappings(spark), "layout_id").select("upload_id", "source_column", "cdm_field")
+    prof = _typed_profile(spark, sf)
+    by_name = PR.proposals(prof, _cdm(spark), proposer=name_proposer(spark))
+    return PR.accuracy(_loo_proposals(spark, sf), gold).withColumn("proposer", F.lit("votes, names, types, values")).unionByName(
+        PR.accuracy(by_name, gold).withColumn("proposer", F.lit("names")))
+
+
 @register("mapping_prompts", f"""
   WITH fields AS (SELECT to_json(list({{'field': field_name, 'type': data_type, 'meaning': description,
                                        'example': example_values}} ORDER BY field_id)) AS j FROM ({ORG.seed_sql()}) c),
