@@ -158,9 +158,14 @@ def column_stats(rows: DataFrame, mode: str = "typed") -> DataFrame:
 
 
 def profile(rows: DataFrame, headers: DataFrame, mode: str = "typed",
-            row_cap: int | None = None) -> DataFrame:
-    """One row per (upload, column), in PROFILE_SCHEMA order."""
+            row_cap: int | None = None, approximate: bool = False) -> DataFrame:
+    """One row per (upload, column), in PROFILE_SCHEMA order. ``approximate`` (typed mode): distinct
+    counts from sketches, so that no value is shuffled for them."""
     r = cap_rows(rows, row_cap) if row_cap else rows
+    if approximate:
+        if mode != "typed":
+            raise ValueError("sketches count texts; the compat mode counts parsed numbers")
+        return profile_of_states(profile_states(r), headers)
     st = column_stats(r, mode)
     return (st.join(headers.select("upload_id", "names"), "upload_id")
             .select("upload_id",
@@ -171,6 +176,57 @@ def profile(rows: DataFrame, headers: DataFrame, mode: str = "typed",
                     F.col("unique_count").cast("bigint").alias("unique_count")))
 
 
+# --- mergeable states (P2-P5 of uploads that arrive in parts; approximate distinct counts) ----------
+
+#: log2 of the sketch's registers; the relative standard error of a distinct count is 1.04 / 2 ** (LG_K / 2).
+LG_K = 12
+DISTINCT_ERROR = 1.04 / 2 ** (LG_K / 2)
+_ALL = ("all_int", "all_num", "all_date", "all_bool")
+
+
+def profile_states(rows: DataFrame) -> DataFrame:
+    """One row per (upload_id, ordinal) of ``rows``, of bounded size, that merges with states of other rows
+    of the upload: counts, class flags, a sketch of the distinct values and the first samples with their
+    row order. No value is shuffled but the samples: every column costs a state a task."""
+    lv = long_values(rows)
+    f = _flags(F.col("value"))
+    lv = lv.select("upload_id", "row_ord", "ordinal", "value", *[c.alias(k) for k, c in f.items()])
+    sample = F.when(~F.col("is_null"), F.struct("row_ord", "value"))
+    counts = lv.groupBy("upload_id", "ordinal").agg(
+        F.count_if("is_null").alias("null_count"), F.count_if(~F.col("is_null")).alias("n_nonnull"),
+        F.hll_sketch_agg(F.when(~F.col("is_null"), F.col("value")), LG_K).alias("sketch"),
+        *[F.bool_and(F.col("is_null") | F.col(f"is_{k[4:]}")).alias(k) for k in _ALL])
+    first = Window.partitionBy("upload_id", "ordinal").orderBy("row_ord")
+    samples = (lv.filter(~F.col("is_null")).select("upload_id", "ordinal", "row_ord", sample.alias("s"))
+               .withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= model.SAMPLE_VALUES)
+               .groupBy("upload_id", "ordinal").agg(F.array_sort(F.collect_list("s")).alias("samples")))
+    return counts.join(samples, ["upload_id", "ordinal"], "left")
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """States of the same columns as one state each; the order of merging does not matter."""
+    none = F.filter(F.first("samples"), lambda x: F.lit(False))
+    merged = states.groupBy("upload_id", "ordinal").agg(
+        F.sum("null_count").alias("null_count"), F.sum("n_nonnull").alias("n_nonnull"),
+        F.hll_union_agg("sketch").alias("sketch"), *[F.bool_and(k).alias(k) for k in _ALL],
+        F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, model.SAMPLE_VALUES).alias("samples"), none.alias("none"))
+    return merged.withColumn("samples", F.coalesce("samples", "none")).drop("none")
+
+
+def profile_of_states(states: DataFrame, headers: DataFrame) -> DataFrame:
+    """P1-P5 in typed mode from merged states, in PROFILE_SCHEMA order; ``unique_count`` is the sketch's
+    estimate (relative standard error ``DISTINCT_ERROR``, exact for few values), all else exact."""
+    cdm, dtype = _class("typed")
+    values = F.transform(F.col("samples"), lambda x: x["value"])
+    return (merge_states(states).withColumns({"cdm_type": cdm, "dtype": dtype})
+            .join(headers.select("upload_id", "names"), "upload_id")
+            .select("upload_id", F.element_at("names", F.col("ordinal")).alias("column_name"),
+                    F.col("ordinal").cast("int").alias("ordinal"), "dtype", "cdm_type",
+                    F.coalesce(values, F.array().cast("array<string>")).alias("sample_values"),
+                    F.col("null_count").cast("bigint").alias("null_count"),
+                    F.least(F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)), "n_nonnull").cast("bigint").alias("unique_count")))
+
+
 def upload_summary(rows: DataFrame, headers: DataFrame, row_cap: int | None = None) -> DataFrame:
     """P6 + S3: row count as read (at most ``row_cap`` if given), the true count, column count."""
     n = rows.groupBy("upload_id").agg(F.count(F.lit(1)).alias("true_row_count"))
