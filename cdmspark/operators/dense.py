@@ -30,6 +30,7 @@ from .retrieve import SCORE_DIGITS, rank_top
 BLOCK, LEAST_BLOCK, CELLS = 1 << 16, 1 << 10, 1 << 22
 CODES, TRAIN_VECTORS, LLOYD_STEPS = 16, 20_000, 10
 SAMPLE_QUERIES, RECALL_AIM = 512, 0.95
+CODE_DIGITS = 5  # of a score by code, which is computed in single precision: equal codes must tie
 _TOP = "query_id bigint, doc_id bigint, score double"
 
 
@@ -66,7 +67,7 @@ def _sides(corpus: DataFrame, queries: DataFrame) -> tuple[int, int]:
     return parts(queries.count()), parts(corpus.count())
 
 
-def _grid_top(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool, to_matrix, digits: int | None) -> DataFrame:
+def _grid_top(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool, to_matrix, digits: int) -> DataFrame:
     """Per query and piece of the corpus the k best documents (query_id, doc_id, score). ``to_matrix`` turns
     the corpus' second column into rows to multiply the queries' unit vectors with."""
     groups, pieces = _sides(corpus, queries)
@@ -86,9 +87,7 @@ def _grid_top(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool,
             x, y = _matrix(left.column("query")), to_matrix(right.column("doc"))
             step = max(1, CELLS // len(di))
             for a in range(0, len(qi), step):
-                score = x[a:a + step].astype(y.dtype) @ y.T
-                if digits is not None:
-                    score = np.round(score, digits)
+                score = np.round(x[a:a + step].astype(y.dtype) @ y.T, digits)
                 if exclude_self:
                     score[qi[a:a + step, None] == di[None, :]] = -np.inf
                 r, c = _best(score, qi[a:a + step], di, k)
@@ -179,7 +178,7 @@ class QuantisedIndex:
             raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
             return books.decode(raw.reshape(len(column), -1))
 
-        return _grid_top(self.codes, queries.select("id", "vec"), depth, self.exclude_self, decoded, None)
+        return _grid_top(self.codes, queries.select("id", "vec"), depth, self.exclude_self, decoded, CODE_DIGITS)
 
     def _measured(self, queries: DataFrame, aim: float) -> int:
         """The least depth that holds ``aim`` of the exact neighbours of the sampled queries; the driver gets

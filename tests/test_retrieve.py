@@ -108,6 +108,14 @@ def test_codes_sum_like_distance_tables():
     assert ((books.decode(codes) - x) ** 2).sum(1).mean() < 0.5
 
 
+def test_copies_of_one_vector_do_not_deepen_the_rerank(spark):
+    rnd = random.Random(3)
+    one = [rnd.gauss(0, 1) for _ in range(16)]
+    vecs = [(i, one if i % 3 == 0 else [rnd.gauss(0, 1) for _ in range(16)]) for i in range(900)]
+    v = spark.createDataFrame(vecs, "id long, vec array<float>")
+    assert DN.QuantisedIndex(v, v, 3, exclude_self=True).depth <= 40
+
+
 def test_odd_vectors(spark):
     v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 2.0])], "id long, vec array<float>")
     want = {(1, 2), (2, 3), (3, 2), (4, 1)}
