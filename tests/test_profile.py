@@ -85,3 +85,38 @@ def test_signature(spark):
     _, heads = _upload(spark)
     r = P.layout_signatures(heads).collect()[0]
     assert r["layout_text"] == "i i_null dec dt flag empty txt" and len(r["layout_id"]) == 64
+
+
+def _long_upload(spark, n=3000):
+    rows = spark.range(n).select(F.lit("u").alias("upload_id"), F.struct("id").alias("row_ord"), F.array(
+        (F.col("id") % 7).cast("string"), F.when(F.col("id") > n - 3, "x").otherwise("")).alias("vals"))
+    small = spark.range(3).select(F.lit("v").alias("upload_id"), F.struct("id").alias("row_ord"),
+                                  F.array(F.lit("07"), F.lit("7")).alias("vals"))
+    return rows.unionByName(small)
+
+
+def test_first_rows_are_those_of_a_full_ranking(spark):
+    rows = _long_upload(spark, 20_000)
+    for cap in (1, 5, 200):
+        got, want = (sorted((r["upload_id"], r["row_ord"]["id"], r["row_no"]) for r in f(rows, cap).collect())
+                     for f in (P.first_rows, P.cap_rows))
+        assert got == want
+
+
+def test_samples_past_the_first_rows_and_counts(spark):
+    rows = _long_upload(spark)
+    counts = {(r["upload_id"], r["ordinal"]): r["unique_count"] for r in P.unique_counts(rows).collect()}
+    assert counts == {("u", 1): 7, ("u", 2): 1, ("v", 1): 1, ("v", 2): 1}
+    numeric = spark.createDataFrame([("u", 1)], "upload_id string, ordinal int")
+    assert {r["unique_count"] for r in P.unique_counts(rows, numeric).filter("upload_id = 'u' and ordinal = 1").collect()} == {7}
+    heads = spark.createDataFrame([("u", ["a", "b"]), ("v", ["a", "b"])], "upload_id string, names array<string>")
+    for p in (P.profile(rows, heads), P.profile(rows, heads, approximate=True)):
+        got = {(r["upload_id"], r["column_name"]): (r["sample_values"], r["unique_count"]) for r in p.collect()}
+        assert got[("u", "b")] == (["x", "x"], 1) and got[("u", "a")] == (["0", "1", "2"], 7) and got[("v", "a")] == (["07"] * 3, 1)
+
+
+def test_samples_found_in_the_first_rows_need_no_second_pass(spark):
+    rows = spark.range(50).select(F.lit("u").alias("upload_id"), F.struct("id").alias("row_ord"), F.array(F.lit("a")).alias("vals"))
+    agg = P._counts(P.long_values(rows))
+    plan = P.first_samples(rows, agg)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
