@@ -79,3 +79,21 @@ def test_labels_of_lists(spark):
                                "t timestamp_ntz, i string, n long")
     rows = df.orderBy("n").select(X.date_label(F.col("t")), X.id_prefix(F.col("i")), X.file_size_label(F.col("n"))).collect()
     assert [tuple(r) for r in rows] == [("Jan 5, 2026, 03:04 PM", "01234567", x) for x in ("5 B", "2.0 KB", "3.0 MB")]
+
+
+def test_tables_of_documents_are_not_broadcast(spark, tmp_root):
+    from cdmspark.operators import retrieve as RT
+    from cdmspark.operators import workflow as W
+    def stored(name, ddl, row):
+        spark.createDataFrame([row] * 3, ddl).write.parquet(f"{tmp_root}/{name}")
+        return spark.read.parquet(f"{tmp_root}/{name}")
+    reviews = stored("r", "review_id string, mapping_id string, upload_id string", ("R", "M", "U"))
+    maps = stored("m", "mapping_id string, mapping_json string, confidence_score double, customer_id string, source_schema string, "
+                       "cdm_mapping string", ("M", "{}" * 1000, 0.5, "C", "{}", "{}"))
+    ups = stored("u", "upload_id string, file_name string, customer_id string, schema_json string", ("U", "f", "C", "{}" * 500))
+    done = W.completed_reviews(reviews, maps, ups)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and done.count() == 27
+    top = stored("t", "query_id string, doc_id string, score double, rank int", ("Q", "M", 1.0, 1)).limit(1)
+    near = RT.neighbour_rows(top, maps)
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1 and near.count() == 3
