@@ -2,16 +2,16 @@
 
 Stored below one folder, each batch in folders of its own, which readers see once the manifest names it:
 
-* ``postings``: (term, doc_id, block, tf); the documents of a batch are dealt to blocks of about
-  ``BLOCK_DOCS`` by a hash of their id,
+* ``postings``: (term, doc_id, tf), the terms of a document side by side; readers deal the documents of a batch
+  to blocks of about ``BLOCK_DOCS`` by a hash of their id, as many as the manifest says,
 * ``terms``: (term, df), the batch's part of the document frequencies: frequencies of the whole index are
   sums of these parts,
 * ``docs``: (doc_id), so that a document that comes again is left out.
 
 Weights depend on all documents (idf = ln((N + 1) / (df + 1)) + 1), so they are not stored with the
 postings. A search needs, for the batches it sees, the norm of every document and per term and block the
-greatest tf / norm; ``publish`` computes both in one pass over the postings, without any text, and
-stores them for that state of the index; later searches of the state read them.
+greatest tf / norm; ``publish`` computes both in one pass over the postings, without any text, moving each
+posting once, to its block, and stores them for that state of the index; later searches of the state read them.
 
 Search. The sum over a query's terms of weight * idf * greatest tf / norm bounds every score in a block.
 The ``FIRST`` best blocks of each query are scored in full and give a k-th score; only blocks whose
@@ -29,8 +29,8 @@ from ..sources.sinks import append, read_or_empty
 from .retrieve import rank_top
 
 BLOCK_DOCS, FIRST, SLACK = 64, 4, 1e-9
-MANIFEST = "batch bigint, docs bigint"
-POSTINGS = "term string, doc_id bigint, block bigint, tf bigint, batch bigint"
+MANIFEST = "batch bigint, docs bigint, blocks bigint"
+POSTINGS = "term string, doc_id bigint, tf bigint, batch bigint"
 TERMS = "term string, df bigint, batch bigint"
 DOCS = "doc_id bigint, batch bigint"
 
@@ -41,28 +41,32 @@ class TextIndex:
 
     def batches(self) -> DataFrame:
         """Committed batches; a batch that was named twice counts once."""
-        return read_or_empty(self.spark, f"{self.root}/manifest", MANIFEST).groupBy("batch").agg(F.max("docs").alias("docs"))
+        return read_or_empty(self.spark, f"{self.root}/manifest", MANIFEST).groupBy("batch").agg(
+            F.max("docs").alias("docs"), F.max("blocks").alias("blocks"))
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return read_or_empty(self.spark, f"{self.root}/{name}", schema).join(
             F.broadcast(self.batches().select("batch")), "batch", "left_semi")
 
+    def postings(self) -> DataFrame:
+        """(term, doc_id, block, tf, batch) of the committed batches."""
+        rows = read_or_empty(self.spark, f"{self.root}/postings", POSTINGS).join(
+            F.broadcast(self.batches().select("batch", "blocks")), "batch")
+        return rows.select("term", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), "tf", "batch")
+
     def add(self, counts: DataFrame, batch: int) -> int:
         """Index the documents of ``counts`` (id bigint, term, tf) that no other batch has; returns how many.
         A batch that is added again replaces itself. Documents without any term hold no posting."""
         known = self._read("docs", DOCS).filter(F.col("batch") != batch).select(F.col("doc_id").alias("id"))
-        new = materialize(counts.select("id", "term", "tf").join(known, "id", "left_anti"))
-        docs = new.select(F.col("id").alias("doc_id")).distinct()
-        n = docs.count()
-        blocks = max(1, -(-n // BLOCK_DOCS))
-        posted = new.select("term", F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"),
-                            F.col("tf").cast("bigint").alias("tf"))
         at = f"batch={batch}"
-        posted.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(
+        counts.join(known, "id", "left_anti").select(
+            "term", F.col("id").alias("doc_id"), F.col("tf").cast("bigint").alias("tf")).write.mode("overwrite").parquet(
             f"{self.root}/postings/{at}")
+        new = self.spark.read.schema(POSTINGS).parquet(f"{self.root}/postings/{at}")
         new.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{self.root}/terms/{at}")
-        docs.write.mode("overwrite").parquet(f"{self.root}/docs/{at}")
-        append(self.spark.createDataFrame([(batch, n)], MANIFEST).coalesce(1), f"{self.root}/manifest")
+        new.select("doc_id").distinct().write.mode("overwrite").parquet(f"{self.root}/docs/{at}")
+        n = self.spark.read.parquet(f"{self.root}/docs/{at}").count()
+        append(self.spark.createDataFrame([(batch, n, max(1, -(-n // BLOCK_DOCS)))], MANIFEST).coalesce(1), f"{self.root}/manifest")
         return n
 
     def state(self) -> str:
@@ -81,11 +85,14 @@ class TextIndex:
         if done.isEmpty():
             idf.write.mode("overwrite").parquet(f"{folder}/idf")
             idf = self.spark.read.parquet(f"{folder}/idf")
-            weighed = self._read("postings", POSTINGS).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+            # a document's postings lie side by side, so a task has one row of it left; then every posting moves
+            # once, to its block, where the norms are known and nothing else has to move
+            weighed = self.postings().join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
             weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).write.mode("overwrite").parquet(
                 f"{folder}/norms")
-            norms = self.spark.read.parquet(f"{folder}/norms")
-            self._read("postings", POSTINGS).join(norms, "doc_id").groupBy("term", "batch", "block").agg(
+            doc = Window.partitionBy("batch", "block", "doc_id")
+            weighed.select("term", "batch", "block", "doc_id", "tf", "w").repartition("batch", "block").withColumn(
+                "norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc))).groupBy("term", "batch", "block").agg(
                 F.max(F.col("tf") / F.col("norm")).alias("most")).write.mode("overwrite").parquet(f"{folder}/maxima")
             append(self.spark.createDataFrame([(state,)], "state string").coalesce(1), f"{self.root}/published")
         return Snapshot(self, folder, n)
@@ -97,7 +104,7 @@ class Snapshot:
     def __init__(self, index: TextIndex, folder: str, n: int):
         self.index, self.n, spark = index, n, index.spark
         self.idf, self.norms, self.maxima = (spark.read.parquet(f"{folder}/{x}") for x in ("idf", "norms", "maxima"))
-        self.postings = index._read("postings", POSTINGS)
+        self.postings = index.postings()
 
     def weights(self, counts: DataFrame) -> DataFrame:
         """(query_id, term, wq, idf) of queries (id, term, tf): unit length over all their terms; terms that the
@@ -111,8 +118,10 @@ class Snapshot:
 
     def _scored(self, weights: DataFrame, blocks: DataFrame) -> DataFrame:
         """(query_id, doc_id, score) of all documents in the given (query_id, batch, block)."""
-        wanted = weights.join(blocks, "query_id")
-        parts = wanted.join(self.postings, ["term", "batch", "block"]).groupBy("query_id", "doc_id").agg(
+        # what is wanted is stored, so that Spark knows its size; postings of no query's term do not move
+        wanted = materialize(weights.join(blocks, "query_id"))
+        asked = self.postings.join(weights.select("term").distinct(), "term", "left_semi")
+        parts = wanted.join(asked, ["term", "batch", "block"]).groupBy("query_id", "doc_id").agg(
             F.sum(F.col("wq") * F.col("idf") * F.col("tf")).alias("s"))
         return parts.join(self.norms, "doc_id").select("query_id", "doc_id", (F.col("s") / F.col("norm")).alias("score"))
 

@@ -19,3 +19,20 @@ def test_minhash_pairs_do_not_move(spark):
     docs = {k: {f"w{k % 7}", f"w{k % 5}", "common"} for k in range(50)}
     best = sorted(docs, key=lambda k: (-len({"w1", "w2", "common"} & docs[k]) / len({"w1", "w2", "common"} | docs[k]), k))[:3]
     assert [r.doc_id for r in got.orderBy("rank").collect()] == best
+
+
+def test_index_of_new_documents_moves_postings_by_id_once(spark, tmp_root):
+    from cdmspark.operators import textindex as TX
+    index = TX.TextIndex(spark, tmp_root)
+    known = index._read("docs", TX.DOCS).select(F.col("doc_id").alias("id"))
+    counts = RT.prose_terms(spark.createDataFrame([(1, "a b"), (2, "b c")], "id long, text string"), "id", "text")
+    plan = _plan(counts.join(known, "id", "left_anti"))
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_a_missing_table_has_a_known_size(spark, tmp_root):
+    from cdmspark.sources import sinks as SK
+    none = SK.read_or_empty(spark, f"{tmp_root}/none", "upload_id string, seq bigint, tags array<string>")
+    assert none.dtypes == [("upload_id", "string"), ("seq", "bigint"), ("tags", "array<string>")] and none.count() == 0
+    big = spark.range(5).select(F.col("id").cast("string").alias("upload_id"))
+    assert "SortMergeJoin" not in _plan(big.join(none.select("upload_id").distinct(), "upload_id", "left_anti"))
