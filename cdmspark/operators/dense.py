@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.materialize import materialize
 from .retrieve import SCORE_DIGITS, rank_top
 
-BLOCK, LEAST_BLOCK, CELLS = 1 << 16, 1 << 10, 1 << 22
+BLOCK, LEAST_BLOCK, CELLS, RESULTS = 1 << 16, 1 << 10, 1 << 22, 1 << 19
 CODES, TRAIN_VECTORS, LLOYD_STEPS = 16, 20_000, 10
 SAMPLE_QUERIES, RECALL_AIM = 512, 0.95
 CODE_DIGITS = 5  # of a score by code, which is computed in single precision: equal codes must tie
@@ -56,21 +56,22 @@ def _best(score: np.ndarray, qi: np.ndarray, di: np.ndarray, k: int) -> tuple[np
     return r[place < k], c[place < k]
 
 
-def _sides(corpus: DataFrame, queries: DataFrame) -> tuple[int, int]:
+def _sides(corpus: DataFrame, queries: DataFrame, k: int) -> tuple[int, int]:
     """Groups of queries and pieces of documents: blocks of at most ``BLOCK``, fewer vectors each while
-    the cores would not all have two."""
+    the cores would not all have two, and fewer queries where their ``k`` best would be beyond ``RESULTS``
+    rows, as a task holds all it returns."""
     cores = corpus.sparkSession.sparkContext.defaultParallelism
     side = math.ceil(math.sqrt(2 * cores))
 
-    def parts(n: int) -> int:
-        return max(1, math.ceil(n / min(BLOCK, max(LEAST_BLOCK, math.ceil(n / side)))))
-    return parts(queries.count()), parts(corpus.count())
+    def parts(n: int, most: int) -> int:
+        return max(1, math.ceil(n / min(most, max(LEAST_BLOCK, math.ceil(n / side)))))
+    return parts(queries.count(), min(BLOCK, max(LEAST_BLOCK, RESULTS // max(1, k)))), parts(corpus.count(), BLOCK)
 
 
 def _grid_top(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool, to_matrix, digits: int) -> DataFrame:
     """Per query and piece of the corpus the k best documents (query_id, doc_id, score). ``to_matrix`` turns
     the corpus' second column into rows to multiply the queries' unit vectors with."""
-    groups, pieces = _sides(corpus, queries)
+    groups, pieces = _sides(corpus, queries, k)
     own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
     second = [c for c in corpus.columns if c != "id"][0]
     # names of their own on either side, as both may come from one table
