@@ -36,3 +36,42 @@ def test_a_missing_table_has_a_known_size(spark, tmp_root):
     assert none.dtypes == [("upload_id", "string"), ("seq", "bigint"), ("tags", "array<string>")] and none.count() == 0
     big = spark.range(5).select(F.col("id").cast("string").alias("upload_id"))
     assert "SortMergeJoin" not in _plan(big.join(none.select("upload_id").distinct(), "upload_id", "left_anti"))
+
+
+def test_sketches_of_many_columns_are_not_sorted(spark, monkeypatch):
+    from cdmspark.operators import profile as P
+    name, seen = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", []
+    before, store = spark.conf.get(name), P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df: (seen.append(int(spark.conf.get(name))), store(df))[1])
+    rows = spark.createDataFrame([(f"u{k}", 1, ["1", None]) for k in range(3)], "upload_id string, row_ord long, vals array<string>")
+    assert P.profile_states(rows).count() == 6
+    assert seen[0] >= P.STATES_A_TASK and spark.conf.get(name) == before
+
+
+def test_a_deep_search_has_smaller_groups_of_queries(spark):
+    from cdmspark.operators import dense as DN
+    n = 1 << 17
+    for k in (3, 64, 300):
+        groups, pieces = DN._sides(spark.range(n), spark.range(n), k)
+        assert n / groups * k <= max(DN.RESULTS, DN.LEAST_BLOCK * k) and pieces == -(-n // min(DN.BLOCK, -(-n // 3)))
+
+
+def test_records_have_no_path_in_their_order(spark, tmp_root):
+    from cdmspark.sources import csv_uploads as CU
+    for name, text in (("a", "\n \nx,y\n1,2\n"), ("b", "y\r3\r")):
+        with open(f"{tmp_root}/{name}.csv", "w", newline="") as f:
+            f.write(text)
+    rows, heads = CU.read_uploads(spark, tmp_root)
+    assert "file_path" not in rows.schema["row_ord"].dataType.names
+    names = {r.upload_id: r.names for r in heads.collect()}
+    assert sorted((names[r.upload_id], r.vals) for r in rows.collect()) == [(["x", "y"], ["1", "2"]), (["y"], ["3"])]
+
+
+def test_approved_schemas_are_those_of_the_corpus(spark):
+    from cdmspark.operators import workflow as W
+    rows = [("M1", "U1", "APPROVED", '{"a":1}', 1), ("M1", "U1", "APPROVED", '{"b":1}', 2), ("M2", "U2", "REJECTED", '{"c":1}', 3)]
+    reviews = spark.createDataFrame(rows, "mapping_id string, upload_id string, decision string, source_schema string, event_id long")
+    reviews = reviews.withColumns({"customer_id": F.lit("c"), "final_mapping_json": F.lit("{}"), "reviewer": F.lit("r"),
+                                   "reviewed_at": F.col("event_id")})
+    got = [tuple(r) for r in W.approved_schemas(reviews).collect()]
+    assert got == [tuple(r) for r in W.approved_corpus(reviews).select("mapping_id", "source_schema").collect()] == [("M1", '{"b":1}')]
