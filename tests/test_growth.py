@@ -75,3 +75,41 @@ def test_approved_schemas_are_those_of_the_corpus(spark):
                                    "reviewed_at": F.col("event_id")})
     got = [tuple(r) for r in W.approved_schemas(reviews).collect()]
     assert got == [tuple(r) for r in W.approved_corpus(reviews).select("mapping_id", "source_schema").collect()] == [("M1", '{"b":1}')]
+
+
+def test_a_load_works_out_and_writes_its_rows_once_and_unsorted(spark, tmp_root, monkeypatch):
+    from cdmspark.sources import sinks as SK
+    from tests.test_changes import _checked, _skus, row
+    checked = _checked(spark, [("u1", row("a")), ("u1", row("b", "x")), ("u2", row("c"))])
+    name, seen, kind = "spark.sql.maxConcurrentOutputFileWriters", [], type(checked.write)
+    put = kind.parquet
+    monkeypatch.setattr(kind, "parquet", lambda w, path, *a, **k: (seen.append((path, spark.conf.get(name))), put(w, path, *a, **k))[1])
+    batch = SK.load_sales(spark, checked, tmp_root)
+    monkeypatch.undo()
+    assert [x for x in seen if "/totals/" not in x[0] and "/manifest" not in x[0]] == [(f"{tmp_root}/sales/batch={batch}", str(SK.OPEN_FILES))]
+    assert spark.conf.get(name) == "0"
+    assert _skus(SK.read_sales(spark, tmp_root)) == [("u1", "a"), ("u2", "c")]
+    (r,) = SK.read_quarantine(spark, tmp_root).collect()
+    assert (r.upload_id, r.product_sku, r.cast_errors, r.accepted) == ("u1", "b", ["revenue"], False)
+    assert sorted((r.upload_id, r.rows_loaded, r.rows_rejected) for r in SK.manifest(spark, tmp_root).collect()) == [("u1", 1, 1), ("u2", 1, 0)]
+
+
+def test_landed_rows_are_the_sales_rows_stored_by_field(spark, tmp_root):
+    from cdmspark.sources import testdata as TD
+    tables = {
+        "region": [("r_regionkey", 1), ("r_name", "'EAST'")], "nation": [("n_nationkey", 1), ("n_regionkey", 1)],
+        "supplier": [("s_suppkey", 10), ("s_nationkey", 1)], "customer": [("c_custkey", 7), ("c_name", "'C'")],
+        "part": [("p_partkey", 3), ("p_name", "'P'"), ("p_type", "cast(null as string)"), ("p_retailprice", "2.5D")],
+        "orders": [("o_orderkey", "id"), ("o_custkey", 7), ("o_orderpriority", "'LOW'")],
+        "lineitem": [("l_orderkey", "id"), ("l_linenumber", "5"), ("l_partkey", 3), ("l_suppkey", 10), ("l_quantity", "2D"),
+                     ("l_extendedprice", "9.5D"), ("l_discount", "0.1D"), ("l_tax", "0D"), ("l_returnflag", "'N'"), ("l_linestatus", "'O'"),
+                     ("l_shipdate", "timestamp_ntz'2024-01-02 00:00:00'")]}
+    for t, cols in tables.items():
+        spark.range(6 if t in ("orders", "lineitem") else 1).selectExpr(*[f"{e} AS {c}" for c, e in cols]).write.parquet(f"{tmp_root}/{t}.parquet")
+    want = TD.sales_rows(spark, tmp_root)
+    assert TD.landed_rows(spark, tmp_root).schema == want.schema
+    got = TD.landed_rows(spark, tmp_root, "l_linenumber")
+    assert got.schema["row_ord"].dataType.names == ["l_linenumber"]
+    assert "cell_revenue" in _plan(got)  # stored by field, put in order when read
+    one = [sorted((r.upload_id, r.row_ord.l_linenumber, [str(v) for v in r.vals]) for r in x.collect()) for x in (got, want)]
+    assert one[0] == one[1] and len(one[0]) == 6 and "2024-01-02 or so" in one[0][3][2]
