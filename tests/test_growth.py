@@ -113,3 +113,22 @@ def test_landed_rows_are_the_sales_rows_stored_by_field(spark, tmp_root):
     assert "cell_revenue" in _plan(got)  # stored by field, put in order when read
     one = [sorted((r.upload_id, r.row_ord.l_linenumber, [str(v) for v in r.vals]) for r in x.collect()) for x in (got, want)]
     assert one[0] == one[1] and len(one[0]) == 6 and "2024-01-02 or so" in one[0][3][2]
+
+
+def test_streamed_states_cost_calls_by_bucket_not_by_upload(spark, tmp_root):
+    import datetime as dt
+
+    from cdmspark.operators import statemachine as SM
+    from cdmspark.sources import sinks as SK
+    from cdmspark.streaming import states as SS
+    rows = [(f"u{k % 40}", dt.datetime(2026, 1, 1) + dt.timedelta(hours=k // 20), k, SM.STEPS[(k * 7 + k // 40) % 4]) for k in range(400)]
+    rows.append(("u0", dt.datetime(2026, 1, 1, 5), None, "upload"))
+    df = spark.createDataFrame(rows, "upload_id string, ts timestamp, event_id long, step string")
+    for part in (F.col("ts") < "2026-01-01 10:00:00", F.col("ts") >= "2026-01-01 10:00:00"):
+        SK.append(df.filter(part), f"{tmp_root}/in")
+        SS.strict_states_stream(spark, f"{tmp_root}/in", f"{tmp_root}/out", f"{tmp_root}/ck", df.schema, "2 hours", buckets=3)
+    state = spark.read.format("statestore").option("path", f"{tmp_root}/ck").option("stateVarName", "settled").load()
+    assert 0 < state.select("key").distinct().count() <= 3
+    want = SM.strict_states(df.fillna(SS.LAST, ["event_id"])).select("upload_id", "state", "illegal_steps", "n_steps")
+    got = SS.latest_states(spark, f"{tmp_root}/out")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
