@@ -92,3 +92,61 @@ def test_samples_of_stored_rows_are_the_first_rows(spark):
     heads = spark.createDataFrame([("u0", ["a"]), ("u1", ["b"])], "upload_id string, names array<string>")
     got = [sorted(tuple(r) for r in P.sample_rows_json(rows, heads, 3, stored=s).collect()) for s in (False, True)]
     assert got[0] == got[1] == [("u0", '[{"a":"0"},{"a":"2"},{"a":"4"}]'), ("u1", '[{"b":"1"},{"b":"3"},{"b":"5"}]')]
+
+
+def test_deliveries_are_the_sales_rows(spark, tmp_root, monkeypatch):
+    _tables(spark, tmp_root)
+    monkeypatch.setattr(TD, "LINES_A_PART", 7)
+    before = _shuffles(spark)
+    rows, *deliveries = TD.delivered_rows(spark, tmp_root, 3)
+    assert _none_left(spark, before)
+    assert _texts(rows) == sorted(t for d in deliveries for t in _texts(d)) == _texts(TD.sales_rows(spark, tmp_root))
+    assert all(_texts(d) for d in deliveries) and "delivery=" not in str(rows.schema)
+
+    assert all(f.endswith(".zstd.parquet") for f in rows.inputFiles())
+
+
+def test_uploads_written_in_parts_are_the_same_files(spark, tmp_root):
+    import glob
+    rows = spark.createDataFrame([(f"u{k % 5}", k, [str(k), 'a "b", c']) for k in range(40)], "upload_id string, row_ord long, vals array<string>")
+    heads = spark.createDataFrame([(f"u{k}", "c1", "s1", ["x", "y"]) for k in range(6)],
+                                  "upload_id string, customer_id string, source_system string, names array<string>")
+    from cdmspark.sources import sinks as SK
+    texts, before = [], _shuffles(spark)
+    for n in (1, 3):
+        SK.write_csv_uploads(rows, heads, f"{tmp_root}/{n}", parts=n)
+        found = glob.glob(f"{tmp_root}/{n}/customer_id=c1/source_system=s1/upload_id=*/*.csv")
+        assert len(found) == 6
+        texts.append({f.split("upload_id=")[1][:2]: open(f).read() for f in found})
+    assert texts[0] == texts[1] and texts[0]["u5"] == "x,y\n" and texts[0]["u1"].startswith('x,y\n1,"a ""b"", c"\n6,')
+    assert _none_left(spark, before)
+
+
+def test_parsed_uploads_keep_no_lines(spark, tmp_root, monkeypatch):
+    import os
+
+    from cdmspark.sources import csv_uploads as CU
+    for name, text in (("a", 'x,y\n1,"2\n3"\n4\n'), ("b", "y\n5\n"), ("c", 'z\n"never\n'), ("d", "\n")):
+        with open(f"{tmp_root}/{name}.csv", "w", newline="") as f:
+            f.write(text)
+    gone, store = [], CU.release
+    monkeypatch.setattr(CU, "release", lambda df: (gone.extend(df.inputFiles()), store(df)))
+    up = CU.scan_uploads(spark, tmp_root, parsed=True)
+    assert gone and not any(os.path.exists(f.removeprefix("file://")) for f in gone)
+    names = {r.upload_id: r.names for r in up.headers.collect()}
+    assert sorted((names[r.upload_id], r.vals) for r in up.rows.collect()) == [(["x", "y"], ["1", "2\n3"]), (["x", "y"], ["4", None]), (["y"], ["5"])]
+    assert sorted(r.error_message for r in up.refused.collect()) == ["a quoted cell never ends", "no columns to read: the file is empty"]
+
+
+def test_landed_rows_are_gone_before_the_loads_are_compacted(spark, tmp_root, monkeypatch):
+    import os
+
+    from cdmspark.plans import changes as CH
+    _tables(spark, tmp_root)
+    landed, left, land, compact = [], [], TD.landed_rows, CH.SK.compact_sales
+    monkeypatch.setattr(TD, "landed_rows", lambda *a: (lambda r: (landed.extend(r.inputFiles()), r)[1])(land(*a)))
+    monkeypatch.setattr(CH.SK, "compact_sales", lambda *a: (left.extend(
+        f for f in landed if os.path.exists(f.removeprefix("file://"))), compact(*a))[1])
+    got = CH.reload_corrected_sales(spark, tmp_root)
+    assert landed and not left
+    assert got.count() and {r.upload_id[:2] for r in got.select("upload_id").distinct().collect()} >= {"U0", "U1"}
