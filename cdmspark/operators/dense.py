@@ -45,15 +45,25 @@ def _matrix(column) -> np.ndarray:
     return unit(flat.reshape(len(column), -1)) if len(column) else np.empty((0, 0))
 
 
-def _best(score: np.ndarray, qi: np.ndarray, di: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best documents of every query; ties by id."""
-    low = np.partition(score, -k, axis=1)[:, -k] if len(di) > k else np.full(len(qi), -np.inf)
-    r, c = np.nonzero((score >= low[:, None]) & np.isfinite(score))
-    order = np.lexsort((di[c], -score[r, c], r))
-    r, c = r[order], c[order]
+def _best(score: np.ndarray, qi: np.ndarray, di: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score rounded to ``digits``) of the k best documents of every query; ties by id. The k-th
+    best of the maxima of strips of columns is a score that k documents reach, so only scores near it or above
+    are rounded and sorted; where strips are short or a score is no number, all are."""
+    strip = min(256, len(di) // (4 * k))
+    if strip < 8 or np.isnan(score.sum()):
+        score = np.round(score, digits)
+        low = np.partition(score, -k, axis=1)[:, -k] if len(di) > k else np.full(len(qi), -np.inf)
+    else:
+        whole = len(di) // strip * strip
+        low = np.partition(score[:, :whole].reshape(len(qi), -1, strip).max(2), -k, axis=1)[:, -k] - 2 * 10.0 ** -digits
+    r, c = np.nonzero(score >= low[:, None].astype(score.dtype))
+    s = np.round(score[r, c], digits)
+    r, c, s = r[keep := np.isfinite(s)], c[keep], s[keep]
+    order = np.lexsort((di[c], -s, r))
+    r, c, s = r[order], c[order], s[order]
     first = np.r_[True, r[1:] != r[:-1]] if len(r) else np.empty(0, bool)
     place = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
-    return r[place < k], c[place < k]
+    return r[place < k], c[place < k], s[place < k]
 
 
 def _sides(corpus: DataFrame, queries: DataFrame, k: int) -> tuple[int, int]:
@@ -87,12 +97,18 @@ def _grid_top(corpus: DataFrame, queries: DataFrame, k: int, exclude_self: bool,
             qi, di = np.asarray(left.column("query_id")), np.asarray(right.column("doc_id"))
             x, y = _matrix(left.column("query")), to_matrix(right.column("doc"))
             step = max(1, CELLS // len(di))
+            at: dict[int, list[int]] = {}  # columns of each document that is a query too
+            if exclude_self:
+                for c in np.nonzero(np.isin(di, qi))[0]:
+                    at.setdefault(di[c], []).append(c)
             for a in range(0, len(qi), step):
-                score = np.round(x[a:a + step].astype(y.dtype) @ y.T, digits)
+                score = x[a:a + step].astype(y.dtype) @ y.T
                 if exclude_self:
-                    score[qi[a:a + step, None] == di[None, :]] = -np.inf
-                r, c = _best(score, qi[a:a + step], di, k)
-                out.append((qi[a:a + step][r], di[c], score[r, c].astype(np.float64)))
+                    own = [*zip(*((r, c) for r, q in enumerate(qi[a:a + step]) for c in at.get(q, ())))]
+                    if own:
+                        score[own[0], own[1]] = -np.inf
+                r, c, s = _best(score, qi[a:a + step], di, k, digits)
+                out.append((qi[a:a + step][r], di[c], s.astype(np.float64)))
         return pa.table({n: np.concatenate(v) for n, v in zip(("query_id", "doc_id", "score"), zip(*out))})
 
     return q.groupBy("g", "p").cogroup(d.groupBy("dg", "dp")).applyInArrow(run, _TOP)

@@ -150,3 +150,18 @@ def test_landed_rows_are_gone_before_the_loads_are_compacted(spark, tmp_root, mo
     got = CH.reload_corrected_sales(spark, tmp_root)
     assert landed and not left
     assert got.count() and {r.upload_id[:2] for r in got.select("upload_id").distinct().collect()} >= {"U0", "U1"}
+
+
+def test_best_of_strips_is_the_best_of_all():
+    import numpy as np
+
+    from cdmspark.operators import dense as DN
+    rng = np.random.default_rng(5)
+    for n, k, digits, kind in ((4000, 3, 9, "f8"), (4000, 3, 2, "f8"), (4000, 20, 5, "f4"), (50, 3, 9, "f8"), (2, 3, 9, "f8")):
+        score, di = rng.normal(size=(6, n)).astype(kind), rng.permutation(n)
+        score[1, :n // 2], score[2, 0], score[3, 1:] = 7.0, -np.inf, -np.inf
+        r, c, s = DN._best(score.copy(), np.arange(6), di, k, digits)
+        for q in range(6):
+            rounded = np.round(score[q], digits)
+            want = sorted((-v, d) for v, d in zip(rounded.tolist(), di.tolist()) if np.isfinite(v))[:k]
+            assert [(-v, d) for v, d in zip(s[r == q].tolist(), di[c[r == q]].tolist())] == want
