@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.materialize import materialize
+from ..session import freed_shuffles, settings
 from ..sources.sinks import append, read_or_empty
 from .retrieve import rank_top
 
@@ -33,6 +34,7 @@ MANIFEST = "batch bigint, docs bigint, blocks bigint"
 POSTINGS = "term string, doc_id bigint, tf bigint, batch bigint"
 TERMS = "term string, df bigint, batch bigint"
 DOCS = "doc_id bigint, batch bigint"
+WEIGHTS = "batch bigint, block bigint, term string, doc_id bigint, most double"
 
 
 class TextIndex:
@@ -85,15 +87,20 @@ class TextIndex:
         if done.isEmpty():
             idf.write.mode("overwrite").parquet(f"{folder}/idf")
             idf = self.spark.read.parquet(f"{folder}/idf")
-            # a document's postings lie side by side, so a task has one row of it left; then every posting moves
-            # once, to its block, where the norms are known and nothing else has to move
+            # every posting meets its idf once and moves once, to its block, where its document's norm and all of the
+            # block's maxima are known and nothing else has to move
             weighed = self.postings().join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-            weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).write.mode("overwrite").parquet(
-                f"{folder}/norms")
             doc = Window.partitionBy("batch", "block", "doc_id")
-            weighed.select("term", "batch", "block", "doc_id", "tf", "w").repartition("batch", "block").withColumn(
-                "norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc))).groupBy("term", "batch", "block").agg(
-                F.max(F.col("tf") / F.col("norm")).alias("most")).write.mode("overwrite").parquet(f"{folder}/maxima")
+            normed = weighed.select("term", "batch", "block", "doc_id", "tf", "w").repartition("batch", "block").withColumn(
+                "norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc)))
+            most = F.struct(F.lit("maxima").alias("kind"), F.col("term"), F.lit(None).cast("bigint").alias("doc_id"),
+                            (F.col("tf") / F.col("norm")).alias("most"))
+            norm = F.struct(F.lit("norms").alias("kind"), F.lit(None).cast("string").alias("term"), F.col("doc_id"),
+                            F.col("norm").alias("most"))
+            both = normed.select("batch", "block", F.inline(F.array(most, norm))).groupBy(
+                "batch", "block", "kind", "term", "doc_id").agg(F.max("most").alias("most"))
+            with settings(self.spark, spark__sql__maxConcurrentOutputFileWriters="2"), freed_shuffles(self.spark):
+                both.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/weights")
             append(self.spark.createDataFrame([(state,)], "state string").coalesce(1), f"{self.root}/published")
         return Snapshot(self, folder, n)
 
@@ -103,7 +110,9 @@ class Snapshot:
 
     def __init__(self, index: TextIndex, folder: str, n: int):
         self.index, self.n, spark = index, n, index.spark
-        self.idf, self.norms, self.maxima = (spark.read.parquet(f"{folder}/{x}") for x in ("idf", "norms", "maxima"))
+        self.idf = spark.read.parquet(f"{folder}/idf")
+        norms, maxima = (read_or_empty(spark, f"{folder}/weights/kind={x}", WEIGHTS) for x in ("norms", "maxima"))
+        self.norms, self.maxima = norms.select("doc_id", F.col("most").alias("norm")), maxima.drop("doc_id")
         self.postings = index.postings()
 
     def weights(self, counts: DataFrame) -> DataFrame:

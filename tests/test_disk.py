@@ -165,3 +165,30 @@ def test_best_of_strips_is_the_best_of_all():
             rounded = np.round(score[q], digits)
             want = sorted((-v, d) for v, d in zip(rounded.tolist(), di.tolist()) if np.isfinite(v))[:k]
             assert [(-v, d) for v, d in zip(s[r == q].tolist(), di[c[r == q]].tolist())] == want
+
+
+def test_an_index_state_is_worked_out_in_one_pass_over_its_postings(spark, tmp_root, monkeypatch):
+    import math
+
+    from cdmspark.operators import retrieve as RT
+    from cdmspark.operators import textindex as TX
+    texts = {k: " ".join(f"w{k % m}" for m in (2, 3, 5, 7) for _ in range(1 + k % m)) for k in range(90)}
+    index = TX.TextIndex(spark, tmp_root)
+    for batch in range(2):
+        some = spark.createDataFrame([(k, t) for k, t in texts.items() if k % 2 == batch], "id long, text string")
+        index.add(RT.prose_terms(some, "id", "text"), batch)
+    kind, written = type(spark.range(1).write), []
+    put = kind.parquet
+    monkeypatch.setattr(kind, "parquet", lambda w, path, *a, **k: (written.append(path.rsplit("/", 1)[1]), put(w, path, *a, **k))[1])
+    snap = index.publish()
+    monkeypatch.undo()
+    assert written == ["idf", "weights", "published"]
+    tf = {k: {w: t.split().count(w) for w in set(t.split())} for k, t in texts.items()}
+    df = {w: sum(w in d for d in tf.values()) for w in {w for d in tf.values() for w in d}}
+    norm = {k: math.sqrt(sum((n * (math.log(91 / (df[w] + 1)) + 1)) ** 2 for w, n in d.items())) for k, d in tf.items()}
+    assert {r.doc_id: round(r.norm, 9) for r in snap.norms.collect()} == {k: round(v, 9) for k, v in norm.items()}
+    block = {(r.term, r.doc_id): (r.batch, r.block) for r in index.postings().collect()}
+    most = {}
+    for (w, k), at in block.items():
+        most[(w, *at)] = max(most.get((w, *at), 0), tf[k][w] / norm[k])
+    assert {(r.term, r.batch, r.block): round(r.most, 9) for r in snap.maxima.collect()} == {k: round(v, 9) for k, v in most.items()}
